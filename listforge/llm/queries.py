@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from .media import op1
 from .sharding import op9
 
 QUERIES = {
+    "op1_gif_media": op1,
     "op9_histogram_sort_shards": op9,
 }
 
