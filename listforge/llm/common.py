@@ -58,3 +58,20 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns whose names the operator is about to add (Spark compares names without case)."""
     taken = {n.lower() for n in names}
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
+
+
+def shared_fs(uri: str):
+    """(pyarrow file system, path) of a folder or file in the shared store, on driver and executors alike."""
+    from pyarrow import fs
+
+    if "://" not in uri:
+        return fs.LocalFileSystem(), uri.removeprefix("file:")
+    return fs.FileSystem.from_uri(uri)
+
+
+def arrow(rows: list[tuple], schema):
+    """A record batch of rows."""
+    import pyarrow as pa
+
+    columns = zip(*rows, strict=True) if rows else [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)

@@ -6,9 +6,11 @@ from .media import op1
 from .quality import op3
 from .secrets import op7
 from .sharding import op9
+from .wordtable import op2
 
 QUERIES = {
     "op1_gif_media": op1,
+    "op2_word_table_bpe": op2,
     "op3_quality_rules": op3,
     "op7_secret_scan": op7,
     "op9_histogram_sort_shards": op9,
