@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .media import op1
+from .packing import op5
 from .quality import op3
+from .records import op6
 from .secrets import op7
 from .sharding import op9
 from .wordtable import op2
@@ -12,6 +14,8 @@ QUERIES = {
     "op1_gif_media": op1,
     "op2_word_table_bpe": op2,
     "op3_quality_rules": op3,
+    "op5_configuration_packing": op5,
+    "op6_record_files": op6,
     "op7_secret_scan": op7,
     "op9_histogram_sort_shards": op9,
 }
