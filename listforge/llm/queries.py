@@ -9,12 +9,14 @@ from .quality import op3
 from .records import op6
 from .secrets import op7
 from .sharding import op9
+from .toxicity import op4
 from .wordtable import op2
 
 QUERIES = {
     "op1_gif_media": op1,
     "op2_word_table_bpe": op2,
     "op3_quality_rules": op3,
+    "op4_noisy_channel_toxicity": op4,
     "op5_configuration_packing": op5,
     "op6_record_files": op6,
     "op7_secret_scan": op7,
