@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .counts import op8
 from .media import op1
 from .ngram_join import op10
 from .packing import op5
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_configuration_packing": op5,
     "op6_record_files": op6,
     "op7_secret_scan": op7,
+    "op8_edit_token_counts": op8,
     "op10_ngram_lsh_forest": op10,
     "op9_histogram_sort_shards": op9,
 }
