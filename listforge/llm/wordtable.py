@@ -1,6 +1,6 @@
 """BPE encoding and decoding through a table of distinct words.
 
-1. Documents are taken in groups of about GROUP_BYTES. A group becomes the list of its distinct words and, for every
+1. Documents are taken in groups of about GROUP_BYTES, as they lie in the input's partitions. A group becomes the list of its distinct words and, for every
    word of every document, its place in that list.
 2. The words of all groups meet by hash in buckets; each distinct word of the corpus is encoded once, and every group
    gets the ids of its words back.
@@ -17,7 +17,6 @@ empty result; a document longer than a group is a group of its own; other column
 from __future__ import annotations
 
 import hashlib
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import arrow, materialize, small_batches, table
+from .common import arrow, small_batches, table
 
 GROUP_BYTES = 8 << 20
 
@@ -73,9 +72,8 @@ class _Group:
         self.docs.append((doc_id, len(got)))
         self.size += len(text)
 
-    def rows(self, buckets: int):
-        """One row of the documents (bucket -1), one of the words of each bucket."""
-        name = uuid.uuid4().hex
+    def rows(self, name: str, buckets: int, words: bool):
+        """One row of the words of each bucket, or one of the documents (bucket -1)."""
         shares: list[list[bytes]] = [[] for _ in range(buckets)]
         order: list[list[int]] = [[] for _ in range(buckets)]
         for word, place in self.place.items():
@@ -83,29 +81,35 @@ class _Group:
             bucket = zlib.crc32(data) % buckets
             shares[bucket].append(data)
             order[bucket].append(place)
+        if words:
+            for bucket, share in enumerate(shares):
+                if share:
+                    yield name, bucket, len(share), _pack(_strings(share))
+            return
         # Places are renumbered to follow the shares, so that these need no numbers of their own.
         new = np.empty(len(self.place), np.uint32)
         new[[p for part in order for p in part]] = np.arange(len(self.place))
         at = new[np.concatenate(self.words)]
         planes = np.ascontiguousarray(at.view(np.uint8).reshape(-1, 4).T).tobytes()
         ids = pa.RecordBatch.from_arrays([pa.array([d for d, _ in self.docs], pa.int64())], ["doc_id"])
-        yield name, -1, len(self.docs), _pack(_strings([ids.serialize().to_pybytes(), np.array([n for _, n in self.docs], "<u4").tobytes(), planes]))
-        for bucket, share in enumerate(shares):
-            if share:
-                yield name, bucket, len(share), _pack(_strings(share))
+        yield name, -1, len(self.place), _pack(_strings([ids.serialize().to_pybytes(), np.array([n for _, n in self.docs], "<u4").tobytes(), planes]))
 
 
-def _grouped(buckets: int):
+def _grouped(buckets: int, words: bool):
+    """Groups of a partition. The same partition gives the same groups under the same names each time it is read."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = _Group()
+        from pyspark import TaskContext
+
+        partition, number, group = TaskContext.get().partitionId(), 0, _Group()
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 group.add(doc_id, text or "")
                 if group.size >= GROUP_BYTES:
-                    yield arrow(list(group.rows(buckets)), GROUPS)
-                    group = _Group()
+                    yield arrow(list(group.rows(f"{partition}-{number}", buckets, words)), GROUPS)
+                    group, number = _Group(), number + 1
         if group.docs:
-            yield arrow(list(group.rows(buckets)), GROUPS)
+            yield arrow(list(group.rows(f"{partition}-{number}", buckets, words)), GROUPS)
 
     return run
 
@@ -134,6 +138,9 @@ def _joined(schema: pa.Schema, row):
     """A group's rows back to documents: one output row for each, made by row(doc_id, ids as <u2 bytes)."""
 
     def run(key, group):
+        numbers = dict(zip(group.column("bucket").to_pylist(), group.column("n").to_pylist(), strict=True))
+        if numbers.pop(-1, None) != sum(numbers.values()):
+            raise ValueError("words and documents of a group don't belong together")
         parts = dict(zip(group.column("bucket").to_pylist(), group.column("data").to_pylist(), strict=True))
         head, counts, planes = _split(_unpack(parts.pop(-1)))
         doc_ids = pa.ipc.read_record_batch(pa.py_buffer(head), pa.schema([("doc_id", pa.int64())])).column(0).to_pylist()
@@ -153,9 +160,9 @@ def _through(docs: DataFrame, path: str, schema: pa.Schema, ddl: str, row) -> Da
     small_batches(spark)
     buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     ddl_groups = "grp string, bucket int, n int, data binary"
-    groups = materialize(docs.mapInArrow(_grouped(buckets), ddl_groups), "word-groups")
-    coded = groups.where("bucket >= 0").groupBy("bucket").applyInArrow(_encoded(path), ddl_groups)
-    return groups.where("bucket < 0").unionByName(coded).groupBy("grp").applyInArrow(_joined(schema, row), ddl)
+    # The texts are split twice: that costs less than keeping what the first reading gave.
+    coded = docs.mapInArrow(_grouped(buckets, True), ddl_groups).groupBy("bucket").applyInArrow(_encoded(path), ddl_groups)
+    return docs.mapInArrow(_grouped(buckets, False), ddl_groups).unionByName(coded).groupBy("grp").applyInArrow(_joined(schema, row), ddl)
 
 
 def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
