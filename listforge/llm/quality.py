@@ -79,8 +79,11 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
         "_windows": windows(),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
     })
-    third = second.withColumn("_starts", repeated_starts())
-    return third.withColumn("n_repeat_words", covered()).drop("_words", "_lines", "_marks", "_windows", "_starts")
+    third = second.withColumn("_starts", repeated_starts()).withColumn("n_repeat_words", covered())
+    # A later filter on a count is not pushed through a generator; through projections it would be, and would then
+    # compute an array anew for each of its elements.
+    counts = F.inline_outer(F.array(F.struct(*[F.col(c) for c in (*COUNTS, *MORE)])))
+    return third.select(*[F.col(f"`{c}`") for c in docs.columns], counts)
 
 
 def base_failed() -> Column:
