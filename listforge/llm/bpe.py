@@ -87,22 +87,30 @@ class Encoder:
             found = self.firsts[word] = self.ids(word).tobytes()
         return found
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text."""
+    def parts(self, text: str, inner: bool = False) -> list[bytes]:
+        """Ids of each word of a text; inner: the text follows a space that belongs to its first word."""
         split, table = words(text), self.table
         if not split:
-            return b""
-        split[0], head = "", self.first(split[0])
-        table[""] = head
+            return []
+        head = None
+        if not inner:
+            split[0], head = "", self.first(split[0])
+            table[""] = head
         try:
-            return b"".join([table[w] for w in split])
+            return [table[w] for w in split]
         except KeyError:
             missing = [w for w in dict.fromkeys(split) if w not in table]
             if len(table) + len(missing) > self.most:
                 table.clear()
-                table[""], missing = head, [w for w in dict.fromkeys(split) if w]
+                missing = [w for w in dict.fromkeys(split) if w or inner]
+                if head is not None:
+                    table[""] = head
             table.update(zip(missing, self.later(missing), strict=True))
-            return b"".join([table[w] for w in split])
+            return [table[w] for w in split]
+
+    def encode(self, text: str) -> bytes:
+        """Ids of a text."""
+        return b"".join(self.parts(text))
 
 
 @cache

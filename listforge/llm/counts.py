@@ -71,12 +71,20 @@ class Tree:
 
 
 def build(text: str, encoder: bpe.Encoder) -> Tree:
-    words, chars, tokens = bpe.words(text), [], []
-    for at in range(0, len(words), LEAF_WORDS):
-        part = (" " if at else "") + " ".join(words[at : at + LEAF_WORDS])
-        chars.append(len(part))
-        tokens.append(len(encoder.encode(part)) // 2)
-    return Tree(chars, tokens)
+    words = bpe.words(text)
+    if not words:
+        return Tree([], [])
+    at = np.arange(0, len(words), LEAF_WORDS)
+    # A word's space counts with the word, and the first word has none.
+    chars = np.add.reduceat(np.fromiter(map(len, words), np.int64, len(words)) + 1, at)
+    chars[0] -= 1
+    tokens = np.add.reduceat(np.fromiter(map(len, encoder.parts(text)), np.int64, len(words)), at) // 2
+    return Tree(chars.tolist(), tokens.tolist())
+
+
+def tokens_of(region: str, inner: bool, encoder: bpe.Encoder) -> int:
+    """Tokens of a region; an inner one begins with the space of its first word."""
+    return sum(map(len, encoder.parts(region[1:], inner=True) if inner else encoder.parts(region))) // 2
 
 
 def edit(text: str, tree: Tree, start: int, stop: int, insert: str, encoder: bpe.Encoder) -> tuple[str, Tree, int]:
@@ -104,7 +112,7 @@ def edit(text: str, tree: Tree, start: int, stop: int, insert: str, encoder: bpe
     region = new[low : high + grown]
     if len(region) > LEAF_CHARS:
         return new, build(new, encoder), len(new)
-    tree.put(first, len(region), len(encoder.encode(region)) // 2)
+    tree.put(first, len(region), tokens_of(region, low > 0, encoder))
     for leaf in range(first + 1, last + 1):
         if tree.chars[tree.n + leaf]:
             tree.put(leaf, 0, 0)
