@@ -231,7 +231,7 @@ def json_teaser_map(spark, d):
 RAW = [(1, '{"score": 5}'), (2, "junk"), (3, ""), (4, '{"score": "x"}')]
 
 
-@query("SELECT 1 AS id, 5 AS score, 3 AS n_errors")
+@query("SELECT 1 AS id, 5 AS score, CAST(3 AS BIGINT) AS n_errors")
 def error_rows_dropped(spark, d):
     """Failed scorings take the sentinel, are counted, and aren't stored."""
     rows = values(spark, RAW, "id int, raw string").select("id", F.coalesce(jsonx.parse_score(F.col("raw")), jsonx.scoring_error()).alias("s")).select("id", "s.*")
