@@ -34,8 +34,23 @@ def _remove_local(uri: str) -> None:
     shutil.rmtree(uri.removeprefix("file://"), ignore_errors=True)
 
 
+_WRITTEN: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{re.sub(r'[^a-z0-9]+', '-', name.lower())}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{re.sub(r'[^a-z0-9]+', '-', name.lower())}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> int:
+    """Delete what this process wrote to the shared folder; for long sessions, once results that read it are stored."""
+    for path in _WRITTEN:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    gone = len(_WRITTEN)
+    _WRITTEN.clear()
+    return gone
 
 
 def materialize(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:

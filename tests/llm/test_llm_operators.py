@@ -219,6 +219,19 @@ def test_near_duplicates(spark, docs, none):
     assert ngram_join.keep_one(none).count() == 0
 
 
+def test_scratch_goes(spark):
+    from listforge.llm import common
+
+    kept = materialize(spark.range(3), "t")
+    assert kept.count() == 3
+    path = common._WRITTEN[-1]
+    own, common._WRITTEN[:] = common._WRITTEN[:-1], [path]
+    assert common.clear_scratch(spark) == 1 and common._WRITTEN == []
+    common._WRITTEN.extend(own)
+    fs, root = common.shared_fs(path)
+    assert fs.get_file_info(root).type.name == "NotFound"
+
+
 def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (100, 102), (103, 102)]
     got = {r["id"]: r["class"] for r in ngram_join.components(materialize(spark.createDataFrame(chain, "a long, b long"), "t")).collect()}
