@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import Settings
 from ..functions import jsonx, text
+from ..shipping import ship
 
 #: Fetched bodies shorter than this are failures; longer ones are cut.
 BODY_LEAST, BODY_MOST, ERROR_MOST = 200, 6000, 140
@@ -33,6 +34,7 @@ def page_text(body: str) -> tuple[str, str | None]:
 
 def fetched(df: DataFrame, make: Callable[[], Fetcher], s: Settings) -> DataFrame:
     """df with fetched and fetch_error, one client a partition and fetch_workers partitions at a time."""
+    ship(df.sparkSession)
     names = df.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -58,6 +60,7 @@ def with_body(df: DataFrame) -> DataFrame:
 
 def scored(df: DataFrame, make: Callable[[], Scorer], s: Settings) -> DataFrame:
     """df with the fields of a score, which win over those of df; a model that fails or babbles gives the sentinel."""
+    ship(df.sparkSession)
 
     @F.pandas_udf("string")
     def answers(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -99,6 +102,7 @@ def rule_scorer(s: Settings) -> Callable[[], Scorer]:
 
 def extracted(df: DataFrame, make: Callable[[], Callable[[str, str], str]], body: str = "body") -> DataFrame:
     """df with brief_json: a JSON object that a model drew from title and body, null where it gave none."""
+    ship(df.sparkSession)
 
     @F.pandas_udf("string")
     def answers(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
