@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Arrow batches hold at most so many documents, so that a batch of long ones stays small.
 BATCH_ROWS = 256
 
@@ -62,7 +64,8 @@ def materialize(df: DataFrame, name: str, partitions: int | None = None) -> Data
 
 
 def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Bound the Arrow batches of the Python stages that follow in this session."""
+    """Bound the Arrow batches of the Python stages that follow in this session, and give their workers this package."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:

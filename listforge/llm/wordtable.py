@@ -182,6 +182,7 @@ def decode(coded: DataFrame, path: str, ids: str = "ids", doc_id: str = "doc_id"
     The vocabulary has a fixed size and is sent to the executors; bytes that aren't UTF-8 become U+FFFD. An id that the
     vocabulary doesn't have fails the task.
     """
+    small_batches(coded.sparkSession)
     found = coded.sparkSession.sparkContext.broadcast(bpe.pieces(path))
 
     @F.pandas_udf("string")
