@@ -5,14 +5,16 @@
    Labels are sorted over the whole cluster (ranges with the id as last key, so that a large group is divided), and
    neighbours in that order share prefixes. Prefixes are shortened from DEPTH to `shortest(...)`, the length at which a
    pair at the threshold is met with the target recall.
-3. In a trie node of at most SMALL members all pairs are candidates whose signatures agree well enough. In a larger node
-   members gather around leaders (chosen by a hash of the id, so that all tries choose the same) and around their
-   neighbours in the sorted order. Where a node crosses the border of partitions, its leaders meet in a second step.
-4. Every candidate pair is verified on the two texts. Verified pairs are links; connected documents are one class.
+3. In a trie node of at most SMALL members all pairs are candidates whose signatures agree well enough; each candidate is
+   verified on the two texts. A pair that meets in several tries counts in the first of them alone.
+4. The members of a larger node are dealt by a hash of the id into blocks of about BLOCK, and for every two blocks one
+   group verifies all pairs between them exactly, with a product of their shingle matrices. What a group gives is a
+   spanning forest of the pairs that it verified, fewer links than it has members, so that a group of m near copies
+   doesn't make m * m / 2 rows and no class falls apart. Nodes at the borders of partitions meet in a second step.
+5. Verified pairs are links; connected documents are one class.
 
-`n_links` is the number of different texts that a verified link joins to the document's text. In a node of up to SMALL
-texts that is every similar text; in larger ones links lead to leaders and neighbours, so that a group of m near copies
-has a multiple of m links, not m * m / 2. Copies count once, as `n_copies`.
+`n_links` is the number of different texts that such a link joins to the document's text: every similar text in nodes of up
+to SMALL texts, neighbours in the forests in larger ones. Copies count once, as `n_copies`.
 
 Defined results: null counts as empty; texts without words are copies of one another; a text of fewer than five words
 has one shingle, all its words; rows with a null id are classes of their own, with a null class; repeated rows are
@@ -35,11 +37,10 @@ WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, RECALL = 10, 6, 0.999
 K = TREES * DEPTH
 SMALL = 24
-#: Agreeing values of K from which a pair is a candidate (3.5 standard deviations below the threshold), and from which
-#: a member gathers around a leader.
-CANDIDATE, NEAR = 37, 45
-#: Tries whose sorted neighbours are candidates too in large nodes.
-CHAINED = 3
+#: Agreeing values of K from which a pair is a candidate (3.5 standard deviations below the threshold).
+CANDIDATE = 37
+#: Members of a block of a large node, and columns of a shingle matrix that are multiplied at once.
+BLOCK, COLUMNS = 1024, 2048
 
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(1, 1 << 63, K, dtype=np.uint64) | np.uint64(1)
@@ -110,44 +111,26 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 0.0
 
 
-def gather(ids: np.ndarray, sigs: np.ndarray, chained: bool) -> tuple[list[np.ndarray], np.ndarray]:
-    """Candidate pairs of a trie node (arrays of two places) and the places of its leaders. Rows are in sorted order."""
-    m = len(ids)
-    if m <= SMALL:
-        i, j = np.triu_indices(m, 1)
-        close = (sigs[i] == sigs[j]).sum(axis=1) >= CANDIDATE
-        return [np.column_stack([i[close], j[close]])], np.arange(m)
-    pairs, leaders = [], []
-    if chained:
-        close = np.flatnonzero((sigs[1:] == sigs[:-1]).sum(axis=1) >= CANDIDATE)
-        pairs.append(np.column_stack([close, close + 1]))
-    rank = np.argsort(_mixed(ids.astype(np.uint64)), kind="stable")
-    free = rank
-    while len(free):
-        leader, free = free[0], free[1:]
-        if leaders:
-            old = np.array(leaders)
-            close = old[(sigs[old] == sigs[leader]).sum(axis=1) >= CANDIDATE]
-            pairs.append(np.column_stack([np.full(len(close), leader), close]))
-        leaders.append(leader)
-        near = (sigs[free] == sigs[leader]).sum(axis=1) >= NEAR
-        pairs.append(np.column_stack([free[near], np.full(int(near.sum()), leader)]))
-        free = free[~near]
-    return pairs, np.array(leaders)
+def gather(sigs: np.ndarray, tree: int, prefix: int) -> np.ndarray:
+    """Candidate pairs (rows of two places) of a small node of a trie that have met in no earlier trie."""
+    i, j = np.triu_indices(len(sigs), 1)
+    same = sigs[i] == sigs[j]
+    before = same.reshape(-1, TREES, DEPTH)[:, :tree, :prefix].all(axis=2).any(axis=1)
+    close = (same.sum(axis=1) >= CANDIDATE) & ~before
+    return np.column_stack([i[close], j[close]])
 
 
 FOUND = pa.schema([("tree", pa.int32()), ("prefix", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("sig", pa.binary())])
 FOUND_DDL = "tree int, prefix binary, a long, b long, sig binary"
 
 
-def _edges(ids: np.ndarray, pairs: list[np.ndarray]) -> list[tuple]:
-    at = np.concatenate(pairs) if pairs else np.zeros((0, 2), int)
+def _edges(ids: np.ndarray, at: np.ndarray) -> list[tuple]:
     a, b = ids[at[:, 0]], ids[at[:, 1]]
     return [(None, None, x, y, None) for x, y in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)]
 
 
 def _tries(prefix: int):
-    """Candidates of a sorted partition; for its first and last node also the leaders (b is null)."""
+    """Candidates of a sorted partition; of its first and last node and of large ones the members (b is null)."""
 
     def run(batches):
         trees, ids, labels, sigs = [], [], [], []
@@ -165,13 +148,14 @@ def _tries(prefix: int):
         bounds = [0, *new.tolist(), len(id_)]
         rows: list[tuple] = []
         for k, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
-            border = k in (0, len(bounds) - 2)
-            if high - low == 1 and not border:
-                continue
-            pairs, leaders = gather(id_[low:high], sig[low:high], int(tree[low]) < CHAINED)
-            rows += _edges(id_[low:high], pairs)
-            if border:
-                rows += [(int(tree[low]), labels[low][: 2 * prefix], int(id_[low + x]), None, sigs[low + x]) for x in leaders.tolist()]
+            if k in (0, len(bounds) - 2) or high - low > SMALL:
+                for x in range(low, high):
+                    rows.append((int(tree[x]), labels[x][: 2 * prefix], int(id_[x]), None, sigs[x]))
+                    if len(rows) > 5000:
+                        yield arrow(rows, FOUND)
+                        rows = []
+            elif high - low > 1:
+                rows += _edges(id_[low:high], gather(sig[low:high], int(tree[low]), prefix))
             if len(rows) > 5000:
                 yield arrow(rows, FOUND)
                 rows = []
@@ -180,11 +164,106 @@ def _tries(prefix: int):
     return run
 
 
-def _across(key, group):
-    ids = group.column("a").to_numpy()
-    sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), ">u2").reshape(-1, K)
-    pairs, _ = gather(ids, sigs, True)
-    return pa.Table.from_batches([arrow(_edges(ids, pairs), FOUND)], schema=FOUND)
+def _across(prefix: int):
+    def run(key, group):
+        ids, tree = group.column("a").to_numpy(), key[0].as_py()
+        sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), ">u2").reshape(-1, K)
+        return pa.Table.from_batches([arrow(_edges(ids, gather(sigs, tree, prefix)), FOUND)], schema=FOUND)
+
+    return run
+
+
+def similar(one: list[np.ndarray], two: list[np.ndarray] | None, threshold: float) -> np.ndarray:
+    """Whether the exact Jaccard similarity of each set of one with each of two (of one, if null) reaches the threshold."""
+
+    def flat(sets):
+        return np.concatenate([*sets, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+
+    values, rows = flat(one)
+    others, places = (values, rows) if two is None else flat(two)
+    if two is None:
+        found, times = np.unique(values, return_counts=True)
+        shared = found[times > 1]
+    else:
+        shared = np.intersect1d(values, others)
+
+    def columns(v, r):
+        at = np.searchsorted(shared, v)
+        here = at < len(shared)
+        here[here] = shared[at[here]] == v[here]
+        at, r = at[here], r[here]
+        order = np.argsort(at, kind="stable")
+        return at[order], r[order]
+
+    sizes = [np.array([len(x) for x in sets], float) for sets in (one, one if two is None else two)]
+    (at, rows), (to, places) = columns(values, rows), columns(others, places)
+    both = np.zeros((len(sizes[0]), len(sizes[1])), np.float32)
+    for low in range(0, len(shared), COLUMNS):
+        width = min(COLUMNS, len(shared) - low)
+        sides = []
+        for c, r, n in ((at, rows, both.shape[0]), (to, places, both.shape[1])):
+            part = slice(*np.searchsorted(c, [low, low + width]))
+            side = np.zeros((n, width), np.float32)
+            side[r[part], c[part] - low] = 1
+            sides.append(side)
+        both += sides[0] @ sides[1].T
+    met = both.astype(float)
+    return met / np.maximum(sizes[0][:, None] + sizes[1][None, :] - met, 1) >= threshold
+
+
+def met_before(one: np.ndarray, two: np.ndarray, tree: int, prefix: int) -> np.ndarray:
+    """Whether each signature of one is with each of two in a node of a trie before this one."""
+    met = np.zeros((len(one), len(two)), bool)
+    one, two = np.ascontiguousarray(one.T), np.ascontiguousarray(two.T)
+    for t in range(tree):
+        same = np.ones(met.shape, bool)
+        for k in range(t * DEPTH, t * DEPTH + prefix):
+            same &= one[k][:, None] == two[k][None, :]
+        met |= same
+    return met
+
+
+def forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of a symmetric matrix of neighbours."""
+    edges, unseen = [], np.ones(len(near), bool)
+    for root in np.flatnonzero(near.any(axis=1)).tolist():
+        if not unseen[root]:
+            continue
+        unseen[root] = False
+        todo = [root]
+        while todo:
+            i = todo.pop()
+            new = np.flatnonzero(near[i] & unseen)
+            unseen[new] = False
+            edges += [(i, j) for j in new.tolist()]
+            todo += new.tolist()
+    return edges
+
+
+def _verified_block(key, group, threshold: float, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of two blocks of a node (or of one) and the symmetric matrix of their verified pairs."""
+    shingler, tree, x, y = Shingler(), key[0].as_py(), key[2].as_py(), key[3].as_py()
+    ids, block = group.column("doc_id").to_numpy(), group.column("block").to_numpy()
+    sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), ">u2").reshape(-1, K).astype(np.uint16)
+    sets = [shingler(t) for t in group.column("text").to_pylist()]
+    one, two = np.flatnonzero(block == x), np.flatnonzero(block == y)
+    met = similar([sets[i] for i in one], None if x == y else [sets[i] for i in two], threshold)
+    if met.any():
+        met &= ~met_before(sigs[one], sigs[two], tree, prefix)
+    near = np.zeros((len(ids), len(ids)), bool)
+    near[np.ix_(one, two)] = met
+    near |= near.T
+    np.fill_diagonal(near, False)
+    return ids, near
+
+
+def _within(threshold: float, prefix: int):
+    def run(key, group):
+        ids, near = _verified_block(key, group, threshold, prefix)
+        edges = [sorted((int(ids[i]), int(ids[j]))) for i, j in forest(near)]
+        return pa.Table.from_batches([arrow([tuple(e) for e in edges], LINKS)], schema=LINKS)
+
+    return run
 
 
 LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -211,16 +290,24 @@ def _verified(threshold: float):
     return run
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """a < b, each pair once. reps: rep and sig, cheap to read again."""
+def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pairs, crowds). pairs: a < b, each pair once, of small nodes; crowds: members of large nodes, once for every two
+    blocks x and y that their block is one of. reps: rep and sig, cheap to read again."""
     spark = reps.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     labels = F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("sig", 1 + 2 * DEPTH * t, 2 * DEPTH).alias("label")) for t in range(TREES)])
     rows = reps.select("rep", "sig", F.explode(labels).alias("x")).select("x.tree", "x.label", "rep", "sig")
     ordered = rows.repartitionByRange(parts, "tree", "label", "rep").sortWithinPartitions("tree", "label", "rep")
     found = materialize(ordered.mapInArrow(_tries(shortest()), FOUND_DDL), "forest")
-    across = found.where("b is null").groupBy("tree", "prefix").applyInArrow(_across, FOUND_DDL)
-    return found.where("b is not null").select("a", "b").unionByName(across.select("a", "b")).where("a <> b").distinct()
+    spread = found.where("b is null").select("tree", "prefix", "a", "sig")
+    sizes = spread.groupBy("tree", "prefix").agg(F.count("*").alias("size")).where("size > 1")
+    sized = spread.hint("merge").join(sizes, ["tree", "prefix"])
+    across = sized.where(F.col("size") <= SMALL).groupBy("tree", "prefix").applyInArrow(_across(shortest()), FOUND_DDL)
+    blocks = F.ceil(F.col("size") / BLOCK)
+    crowd = sized.where(F.col("size") > SMALL).select("tree", "prefix", F.col("a").alias("doc_id"), "sig", blocks.alias("blocks"), F.pmod(F.xxhash64("a"), blocks).cast("int").alias("block"))
+    met = crowd.select("*", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("other"))
+    crowds = materialize(met.select("tree", "prefix", "doc_id", "sig", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")), "crowds")
+    return found.where("b is not null").select("a", "b").unionByName(across.select("a", "b")), crowds
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -251,13 +338,16 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold:
     copies = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
     member = materialize(known.join(copies, "key").select("doc_id", "rep", "n_copies", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")), "members")
     reps = member.where("sig is not null and n_copies > 0").groupBy("rep").agg(F.max("sig").alias("sig"))
-    pairs = materialize(candidates(materialize(reps, "representatives")), "candidates")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    pairs, crowds = candidates(materialize(reps, "representatives"))
+    pairs = materialize(pairs, "candidates")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(crowds.select("doc_id")).distinct()
     # Candidates grow with the input, so these joins sort and merge at every size: one plan, and nothing is broadcast.
     texts = rows.join(ends.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     one = pairs.hint("merge").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("one")), "a")
     two = one.hint("merge").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("two")), "b")
-    links = materialize(two.select("a", "b", "one", "two").mapInArrow(_verified(threshold), "a long, b long"), "verified")
+    apart = two.select("a", "b", "one", "two").mapInArrow(_verified(threshold), "a long, b long")
+    whole = crowds.hint("merge").join(texts, "doc_id").groupBy("tree", "prefix", "x", "y")
+    links = materialize(apart.unionByName(whole.applyInArrow(_within(threshold, shortest()), "a long, b long")), "verified")
     degrees = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     classes = components(links).select(F.col("id").alias("rep"), "class")
     table_ = degrees.join(classes, "rep")

@@ -236,3 +236,29 @@ def test_components(spark):
     chain = [(i, i + 1) for i in range(40)] + [(100, 101), (100, 102), (103, 102)]
     got = {r["id"]: r["class"] for r in ngram_join.components(materialize(spark.createDataFrame(chain, "a long, b long"), "t")).collect()}
     assert got == {i: 0 for i in range(41)} | {i: 100 for i in (100, 101, 102, 103)}
+
+
+def near_copies(sizes, seed=5):
+    """Groups of different texts, each a template of 200 words with one to three words replaced, mostly three."""
+    draw, rows = random.Random(seed), []
+    for size in sizes:
+        template = [f"t{size}x{i}" for i in range(200)]
+        for k in range(size):
+            words = list(template)
+            for at in draw.sample(range(200), draw.choice([1, 2, 3, 3, 3, 3])):
+                words[at] = f"new{size}x{k}x{at}"
+            rows.append((len(rows), " ".join(words)))
+    return rows
+
+
+def similar_pairs(rows):
+    sets = [shingles(t) for _, t in rows]
+    return {(i, j) for i in range(len(sets)) for j in range(i) if (both := len(sets[i] & sets[j])) and both / len(sets[i] | sets[j]) >= 0.8}
+
+
+def test_large_nodes_keep_classes_whole(spark):
+    rows = near_copies([60, 200, 400])
+    members, _ = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    cls = {r["doc_id"]: r["class_id"] for r in members.collect()}
+    apart = [(i, j) for i, j in similar_pairs(rows) if cls[i] != cls[j]]
+    assert not apart, len(apart)
