@@ -8,13 +8,13 @@
 3. In a trie node of at most SMALL members all pairs are candidates whose signatures agree well enough; each candidate is
    verified on the two texts. A pair that meets in several tries counts in the first of them alone.
 4. The members of a larger node are dealt by a hash of the id into blocks of about BLOCK, and for every two blocks one
-   group verifies all pairs between them exactly, with a product of their shingle matrices. What a group gives is a
-   spanning forest of the pairs that it verified, fewer links than it has members, so that a group of m near copies
-   doesn't make m * m / 2 rows and no class falls apart. Nodes at the borders of partitions meet in a second step.
+   group verifies all pairs between them exactly, with a product of their shingle matrices. What a group gives is the
+   number of these pairs by text and a spanning forest of them, fewer rows than twice its members, so that m near copies
+   don't make m * m / 2 rows and no class falls apart. Nodes at the borders of partitions meet in a second step.
 5. Verified pairs are links; connected documents are one class.
 
-`n_links` is the number of different texts that such a link joins to the document's text: every similar text in nodes of up
-to SMALL texts, neighbours in the forests in larger ones. Copies count once, as `n_copies`.
+`n_links` is the number of different texts that a verified link joins to the document's text, in nodes of any size. Copies
+count once, as `n_copies`.
 
 Defined results: null counts as empty; texts without words are copies of one another; a text of fewer than five words
 has one shingle, all its words; rows with a null id are classes of their own, with a null class; repeated rows are
@@ -257,11 +257,26 @@ def _verified_block(key, group, threshold: float, prefix: int) -> tuple[np.ndarr
     return ids, near
 
 
+COUNTED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+
+
 def _within(threshold: float, prefix: int):
+    """A spanning forest of the verified pairs of two blocks (n is null) and their number by text (b is null)."""
+
     def run(key, group):
         ids, near = _verified_block(key, group, threshold, prefix)
-        edges = [sorted((int(ids[i]), int(ids[j]))) for i, j in forest(near)]
-        return pa.Table.from_batches([arrow([tuple(e) for e in edges], LINKS)], schema=LINKS)
+        rows = [(*sorted((int(ids[i]), int(ids[j]))), None) for i, j in forest(near)]
+        rows += [(i, None, n) for i, n in zip(ids.tolist(), near.sum(axis=1).tolist(), strict=True) if n]
+        return pa.Table.from_batches([arrow(rows, COUNTED)], schema=COUNTED)
+
+    return run
+
+
+def _all_within(threshold: float, prefix: int):
+    def run(key, group):
+        ids, near = _verified_block(key, group, threshold, prefix)
+        i, j = np.nonzero(np.triu(near))
+        return pa.table([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], schema=LINKS)
 
     return run
 
@@ -314,7 +329,7 @@ def components(links: DataFrame) -> DataFrame:
     """id and class (the smallest id connected to it) of every id in links (a, b), cheap to read again.
 
     Each round takes the smallest class among neighbours and then that class's own class, and is written to the shared
-    folder; links that lead to leaders need few rounds.
+    folder; links of shallow forests need few rounds.
     """
     both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
     labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")), "classes")
@@ -329,7 +344,10 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(members, links). members: doc_id, representative, class_id, n_copies, n_links; links: a, b of representatives."""
+    """(members, links). members: doc_id, representative, class_id, n_copies, n_links; links: a, b of representatives.
+
+    links are found anew when they are read: only there the links of large nodes, m * m / 2 of m near copies, are rows.
+    """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -347,9 +365,13 @@ def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold:
     two = one.hint("merge").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("two")), "b")
     apart = two.select("a", "b", "one", "two").mapInArrow(_verified(threshold), "a long, b long")
     whole = crowds.hint("merge").join(texts, "doc_id").groupBy("tree", "prefix", "x", "y")
-    links = materialize(apart.unionByName(whole.applyInArrow(_within(threshold, shortest()), "a long, b long")), "verified")
-    degrees = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    classes = components(links).select(F.col("id").alias("rep"), "class")
+    apart = materialize(apart, "verified")
+    within = materialize(whole.applyInArrow(_within(threshold, shortest()), "a long, b long, n long"), "within")
+    links = apart.unionByName(whole.applyInArrow(_all_within(threshold, shortest()), "a long, b long"))
+    enough = apart.unionByName(within.where("n is null").select("a", "b"))
+    counts = apart.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).cast("long").alias("n")).unionByName(within.where("b is null").select(F.col("a").alias("rep"), "n"))
+    degrees = counts.groupBy("rep").agg(F.sum("n").alias("n_links"))
+    classes = components(enough).select(F.col("id").alias("rep"), "class")
     table_ = degrees.join(classes, "rep")
     members = member.drop("sig").join(table_, "rep", "left").select("doc_id", F.col("rep").alias("representative"), F.coalesce("class", "rep").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     lone = signed.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("representative"), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))

@@ -262,3 +262,14 @@ def test_large_nodes_keep_classes_whole(spark):
     cls = {r["doc_id"]: r["class_id"] for r in members.collect()}
     apart = [(i, j) for i, j in similar_pairs(rows) if cls[i] != cls[j]]
     assert not apart, len(apart)
+
+
+def test_links_of_large_nodes_are_all_counted(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 50)
+    rows = near_copies([60, 200, 400])
+    pairs = similar_pairs(rows)
+    members, links = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = [tuple(sorted(r, reverse=True)) for r in links.collect()]
+    assert len(found) == len(set(found)) and set(found) <= pairs and len(found) >= 0.998 * len(pairs)
+    degree, got = Counter(x for p in found for x in p), {r["doc_id"]: r["n_links"] for r in members.collect()}
+    assert all(got[i] == degree[i] for i, _ in rows)
