@@ -2,8 +2,8 @@
 
 A configuration says how many pieces of each length share a sequence. The program covers the histogram with the fewest
 sequences; it has far too many configurations to list, so multiplicative weights price the lengths and a knapsack
-dynamic program finds the configuration worth most at these prices, round after round. Rounding takes whole numbers of
-each configuration as far as the histogram reaches and closes with best-fit configurations of what is left, each as
+dynamic program finds the configuration worth most at these prices, round after round, until every length's demand is
+met. Rounding takes whole numbers of each configuration and closes with best-fit configurations of the remainder, each as
 often as it fits. The program sees at most 1,024 counts, whatever the number of documents; pieces then find their
 sequence by their length and their rank among pieces of that length, which is counted in lanes so that a frequent
 length stays divided.
@@ -26,8 +26,9 @@ from . import bpe
 from .common import arrow, materialize, small_batches, table
 
 CAPACITY = 1024
-ROUNDS = 300
-EPSILON = 0.1
+#: How fast a length gets cheaper as its demand is met, and how much dearer a token of a long piece is than one of a
+#: short piece: short ones are kept to fill what long ones leave.
+ETA, LONG = 0.05, 1.0
 LANES = 32
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -84,28 +85,26 @@ def dearest(prices: np.ndarray, limits: np.ndarray, capacity: int) -> Configurat
     return tuple((n, min(k, int(limits[n]))) for n, k in sorted(counts.items(), reverse=True))
 
 
-def fractional(histogram: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS, epsilon: float = EPSILON) -> list[tuple[Configuration, float]]:
-    """Configurations with fractional counts that cover the histogram, by multiplicative weights.
+def fractional(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[Configuration, float]]:
+    """Configurations with fractional counts that hold exactly the histogram, by multiplicative weights.
 
-    Every round takes the dearest configuration as far as its scarcest length reaches, and lengths get cheaper by how
-    much of their demand it met.
+    Every round takes the dearest configuration until the demand for one of its lengths is met, and lengths get cheaper by
+    how much of their demand it met. A length whose demand is met has no price, so that rounds end after as many as there
+    are lengths at most.
     """
     need = histogram.astype(float)
-    here = need > 0
-    prices = np.where(here, np.arange(len(need)) / capacity, 0.0)
+    share = np.arange(len(need)) / capacity
+    prices = np.where(need > 0, share * (1 + LONG * share), 0.0)
     taken: dict[Configuration, float] = {}
-    met = np.zeros(len(need))
-    for _ in range(rounds):
-        config = dearest(prices, histogram, capacity)
-        if not config:
-            break
-        step = epsilon * min(need[n] / k for n, k in config)
+    left = need.copy()
+    while config := dearest(prices, histogram, capacity):
+        step = min(left[n] / k for n, k in config)
         taken[config] = taken.get(config, 0.0) + step
         for n, k in config:
-            met[n] += step * k
-            prices[n] *= (1 - epsilon) ** (step * k / need[n] / epsilon)
-            if met[n] >= need[n]:
-                prices[n] = 0.0
+            left[n] -= step * k
+            prices[n] *= np.exp(-ETA * step * k / need[n])
+            if left[n] <= 1e-9 * need[n]:
+                prices[n] = left[n] = 0.0
     return [(c, x) for c, x in taken.items()]
 
 
@@ -124,15 +123,15 @@ def best_fit(left: np.ndarray, capacity: int) -> Configuration:
     return tuple(sorted(counts.items(), reverse=True))
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[Configuration, int]]:
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Configuration, int]]:
     """Configurations and how often each is used; together they hold exactly the histogram."""
     left = np.zeros(capacity + 1, np.int64)
     for n, k in histogram.items():
         left[n] = k
     out = [(((capacity, 1),), int(left[capacity]))] if left[capacity] else []
     left[capacity] = 0
-    for config, x in sorted(fractional(left, capacity, rounds), key=lambda cx: -cx[1]):
-        times = min(int(x), *(int(left[n]) // k for n, k in config))
+    for config, x in sorted(fractional(left, capacity), key=lambda cx: -cx[1]):
+        times = min(int(x + 1e-6), *(int(left[n]) // k for n, k in config))
         if times:
             out.append((config, times))
             for n, k in config:
@@ -174,7 +173,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             slots.append((n, low, used[n], k, sequence, at))
             at += n * k
         sequence += times
-    # One row for each length of a configuration: their number depends on capacity and rounds, not on the documents.
+    # One row for each length of a configuration: their number depends on the capacity, not on the documents.
     table_ = spark.createDataFrame(slots, "length long, low long, high long, many int, sequence long, place int")
     found = ranked(pieces).join(F.broadcast(table_), "length").where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
     at = F.col("rank") - F.col("low")

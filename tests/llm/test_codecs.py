@@ -138,6 +138,23 @@ def test_packing_is_near_the_bound():
         assert sum(t for _, t in used) <= bound * 1.02 + 2
 
 
+def test_packing_program_covers_the_histogram():
+    rng = random.Random(9)
+    need = np.array([0, *(rng.randint(0, 300) for _ in range(1023)), 0])
+    found = packing.fractional(need)
+    met, placed = np.zeros(1025), np.zeros(1025)
+    for config, x in found:
+        assert sum(n * k for n, k in config) <= 1024
+        for n, k in config:
+            met[n] += k * x
+            placed[n] += k * int(x + 1e-6)
+    assert np.allclose(met, need)
+    # Best-fit closes the rounding remainder: of each configuration less than one sequence.
+    tokens = np.arange(1025)
+    assert sum(x for _, x in found) <= max(tokens @ need / 1024, need[513:].sum()) * 1.01
+    assert tokens @ placed >= 0.98 * (tokens @ need)
+
+
 def test_restoration():
     text = "you idiot and moron with worthless stupid pathetic words that are here " * 50
     grams = deobfuscate.trigrams(text)
