@@ -39,6 +39,11 @@ RULES = [
 ]
 BASE = 3
 VALUE_AT_LEAST = 6
+PEM = next(k for k, r in enumerate(RULES) if r[0] == "pem")
+#: What belongs to a private key after its first line: all up to the END line or, without one, the header lines and lines
+#: of base64 that follow (line breaks may be escaped, lines indented or quoted).
+_END = re.compile(r"-----END [A-Z ]*PRIVATE KEY-----")
+_BODY = re.compile(r"""(?:(?:[ \t"'+]*(?:\\r|\\n|\r|\n))+[ \t>"'+]*(?:(?:Proc-Type|DEK-Info):[^\r\n\\]*|[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9+/]{1,15}={1,2}))*""")
 #: Where the value of an assignment begins.
 _HEAD = re.compile(rb"""[A-Za-z_]+["']?\x20*[:=]\x20*["']?""")
 
@@ -63,6 +68,18 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def _key_end(text: str, at: int) -> int:
+    """Where the private key ends whose first line ends at this place."""
+    other = text.find("-----BEGIN ", at)
+    last = _END.search(text, at, len(text) if other < 0 else other)
+    return last.end() if last else _BODY.match(text, at).end()
+
+
+def secrets_of(text: str) -> list[tuple[int, int, int]]:
+    """spans_of with private keys whole, not their first lines alone."""
+    return [(start, rule, _key_end(text, end) if rule == PEM else end) for start, rule, end in spans_of(text)]
+
+
 def _joined(spans) -> str:
     return ",".join(f"{RULES[rule][0]}:{s}:{e}" for s, rule, e in spans)
 
@@ -74,7 +91,7 @@ def _digests(batches):
     for batch in batches:
         rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            spans = spans_of(text or "")
+            spans = secrets_of(text or "")
             base = [x for x in spans if x[1] < BASE]
             counts = [sum(x[1] == k for x in base) for k in range(BASE)]
             rows.append((doc_id, *counts, hashlib.sha256(_joined(base).encode()).hexdigest(), _joined(spans)))
@@ -94,14 +111,14 @@ def find_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("array<struct<kind string, start int, end int>>")
     def found(texts):
-        return texts.map(lambda t: [{"kind": RULES[rule][0], "start": s, "end": e} for s, rule, e in spans_of(t or "")])
+        return texts.map(lambda t: [{"kind": RULES[rule][0], "start": s, "end": e} for s, rule, e in secrets_of(t or "")])
 
     return without(docs, "secrets").withColumn("secrets", found(F.col(text)))
 
 
 def masked(text: str | None) -> str | None:
     """text with every secret replaced by <kind>; overlapping spans become one, named after the first."""
-    spans = spans_of(text or "")
+    spans = secrets_of(text or "")
     if not spans:
         return text
     out, at = [], 0

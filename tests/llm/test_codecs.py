@@ -124,6 +124,18 @@ def test_records():
     assert records.masked(b"abc") == (((c := zlib.crc32(b"abc")) >> 15 | c << 17) + 0xA282EAD8) & 0xFFFFFFFF
 
 
+def test_private_keys_are_masked_whole():
+    body = "\n".join(["MIIEvQIBADANBgkqhkiG9w0BAQEFAASCBKcwggSjAgEAAoIBAQC7VJTUt9Us8cKj"] * 3 + ["MzEfYyjiWA4R4w=="])
+    for kind in ("", "RSA ", "OPENSSH "):
+        begin, end = f"-----BEGIN {kind}PRIVATE KEY-----", f"-----END {kind}PRIVATE KEY-----"
+        assert secrets.masked(f"é {begin}\n{body}\n{end} after") == "é <pem> after"
+        assert secrets.masked(f"{begin}\n{body}\nThen plain words.") == "<pem>\nThen plain words."
+        assert secrets.masked(f"{begin}\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES,00\n\n{body}\n\nwords") == "<pem>\n\nwords"
+        escaped = f"{begin}\n{body}\n{end}".replace("\n", "\\n")
+        assert secrets.masked(f"x {escaped} y {begin}\n{body}\n{end}") == "x <pem> y <pem>"
+        assert secrets.masked(f"{begin} is a first line") == "<pem> is a first line"
+
+
 def test_packing_is_near_the_bound():
     rng = random.Random(8)
     for histogram in ({400: 90, 600: 70, 24: 100, 512: 33}, {n: rng.randint(0, 40) for n in range(1, 1025)}, {1024: 9}, {}, {1: 1}):
