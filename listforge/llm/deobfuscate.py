@@ -24,11 +24,14 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 SEPARATORS = " .-_*~#'"
 LOOK, DROP, AGAIN, BORDER = 0.7, 0.4, 0.6, 6.0
 BEAM = 48
+#: Longer stretches are read as well, but not remembered.
 LONGEST = 48
 
+BORDERS = " \n\t"
+_BORDER = re.compile(f"[{BORDERS}]")
 _SIGNS = re.escape("".join(LOOKS)) + r".\-_*~#"
 _HINT = re.compile(rf"[^\W\d_][{_SIGNS}]{{1,3}}[^\W\d_]|(?<!\S)[{re.escape(''.join(LOOKS))}][^\W\d_]|[^\W\d_][@$|](?!\S)|([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
+_SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -84,6 +87,8 @@ class Model:
         return "".join(reversed(out))
 
     def read(self, span: str) -> str:
+        if len(span) > 2 * LONGEST:
+            return self.decode(span)
         found = self.known.get(span)
         if found is None:
             if len(self.known) > 100_000:
@@ -92,14 +97,13 @@ class Model:
         return found
 
     def readings(self, text: str) -> list[str]:
-        """Readings of the text's suspicious stretches; stretches longer than LONGEST aren't words and have none."""
+        """Readings of the text's suspicious stretches, of any length; the search is linear in it."""
         out, done = [], 0
         for m in _HINT.finditer(text):
             if m.start() < done:
                 continue
-            low = max(text.rfind(" ", 0, m.start()), text.rfind("\n", 0, m.start())) + 1
-            done = min((x for x in (text.find(" ", m.end()), text.find("\n", m.end())) if x >= 0), default=len(text))
-            if done - low <= LONGEST:
-                out.append(self.read(text[low:done]))
-        out += [self.read(m[0]) for m in _SPACED.finditer(text) if len(m[0]) <= 2 * LONGEST]
+            low = max(text.rfind(b, done, m.start()) for b in BORDERS) + 1 or done
+            done = next((x.start() for x in _BORDER.finditer(text, m.end())), len(text))
+            out.append(self.read(text[low:done]))
+        out += [self.read(m[0].replace("\t", " ")) for m in _SPACED.finditer(text)]
         return out

@@ -176,6 +176,16 @@ def test_restoration():
     assert model.readings("plain words, nothing else. At all!") == []
 
 
+def test_long_stretches_are_read():
+    text = "you idiot and moron with worthless stupid pathetic words that are here " * 50
+    model = deobfuscate.Model(np.bincount(deobfuscate.trigrams(text), minlength=deobfuscate.SIZE**3))
+    said = "you idiot and moron with worthless stupid pathetic words that are here"
+    for joint in (" ", ".", "\t"):
+        read = " ".join(model.readings(f"He said: {joint.join(said.replace(' ', ''))} again"))
+        assert all(w in read for w in ("idiot", "moron", "worthless", "pathetic")), read
+    assert "idiot" in model.readings(f"{'x' * 60}\t1d10t\tplain")
+
+
 def test_forest_parameters():
     assert ngram_join.shortest(10, 6, 0.8, 0.999) == 3
     a, b = ngram_join.Shingler()("a b c d e f g"), ngram_join.Shingler()("a b c d e f h")
