@@ -3,8 +3,8 @@
 1. Texts with equal sets of 5-word shingles are copies: one representative of them, the smallest id, goes on.
 2. A representative has TREES * DEPTH MinHash values of 16 bits. In each of the TREES tries its label is DEPTH of them.
    Labels are sorted over the whole cluster (ranges with the id as last key, so that a large group is divided), and
-   neighbours in that order share prefixes. Prefixes are shortened from DEPTH to `shortest(...)`, the length at which a
-   pair at the threshold is met with the target recall.
+   neighbours in that order share prefixes. Prefixes are cut from DEPTH to `shortest(...)`, the length at which a pair at
+   the threshold is met with the target recall: one length for all nodes and tables, that is, fixed banding.
 3. In a trie node of at most SMALL members all pairs are candidates whose signatures agree well enough; each candidate is
    verified on the two texts. A pair that meets in several tries counts in the first of them alone.
 4. The members of a larger node are dealt by a hash of the id into blocks of about BLOCK, and for every two blocks one
