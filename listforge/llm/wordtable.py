@@ -177,7 +177,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and text of each row of ids, by a join of ids to pieces.
+    """doc_id and text of each row of ids, by a lookup of ids in the broadcast vocabulary (no join).
 
     The vocabulary has a fixed size and is sent to the executors; bytes that aren't UTF-8 become U+FFFD. An id that the
     vocabulary doesn't have fails the task.
