@@ -3,7 +3,9 @@
 Leaves hold about LEAF_WORDS words each and end where a space stands between two characters other than white space; the
 tokenizer never joins characters across such a place. A node knows the characters and tokens below it. An edit finds
 the leaves it touches by descending along character sums; their region, widened until both its ends are such places
-again, is encoded anew as one leaf and the sums above it are renewed. Everything else keeps its counts.
+again, is encoded anew, its leaves take the places of the old ones and the sums above them are renewed; where they are
+more than the places, the tree is put together anew from the leaves' sums. Everything else keeps its counts: whatever its
+size, only the region is encoded. A leaf is as long as the text between two such places.
 
 Defined results: a null text counts as empty and has no tokens; edits of a row apply in their order, each to the text
 that the one before left; positions are code points and are cut to the text, a stop before its start counts as the
@@ -13,7 +15,11 @@ carried along, those named like an output column are replaced.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +27,6 @@ from . import bpe
 from .common import small_batches, table, without
 
 LEAF_WORDS = 64
-#: A leaf of more characters is divided, which makes the tree anew.
-LEAF_CHARS = 8192
 
 
 class Tree:
@@ -66,25 +70,22 @@ class Tree:
 
     @classmethod
     def load(cls, data: bytes) -> Tree:
-        leaves = np.frombuffer(data, "<u4").reshape(-1, 2).T.tolist()
-        return cls(*leaves)
+        return cls(*np.frombuffer(data, "<u4").reshape(-1, 2).T.tolist())
 
 
-def build(text: str, encoder: bpe.Encoder) -> Tree:
-    words = bpe.words(text)
-    if not words:
-        return Tree([], [])
-    at = np.arange(0, len(words), LEAF_WORDS)
-    # A word's space counts with the word, and the first word has none.
-    chars = np.add.reduceat(np.fromiter(map(len, words), np.int64, len(words)) + 1, at)
-    chars[0] -= 1
-    tokens = np.add.reduceat(np.fromiter(map(len, encoder.parts(text)), np.int64, len(words)), at) // 2
-    return Tree(chars.tolist(), tokens.tolist())
+def leaves(coded: bpe.Words) -> Iterator[tuple[list[int], list[int]]]:
+    """Characters and tokens of the leaves of each text, LEAF_WORDS words a leaf."""
+    chars = pc.utf8_length(coded.words).to_numpy()
+    for low, high in zip(coded.offsets.tolist(), coded.offsets[1:].tolist(), strict=False):
+        if low == high:
+            yield [], []
+            continue
+        at = np.concatenate([[low], low + np.flatnonzero(coded.spaced[low:high])[LEAF_WORDS - 1 :: LEAF_WORDS]])
+        yield np.add.reduceat(chars[:high], at, dtype=np.int64).tolist(), np.add.reduceat(coded.sizes[:high], at).tolist()
 
 
-def tokens_of(region: str, inner: bool, encoder: bpe.Encoder) -> int:
-    """Tokens of a region; an inner one begins with the space of its first word."""
-    return sum(map(len, encoder.parts(region[1:], inner=True) if inner else encoder.parts(region))) // 2
+def build(text: str, encoder: bpe.Encoder) -> Tree:
+    return Tree(*next(leaves(encoder.encoded(pa.array([text], pa.string())))))
 
 
 def edit(text: str, tree: Tree, start: int, stop: int, insert: str, encoder: bpe.Encoder) -> tuple[str, Tree, int]:
@@ -110,12 +111,18 @@ def edit(text: str, tree: Tree, start: int, stop: int, insert: str, encoder: bpe
             last, at = tree.find(high)
             high = at + tree.chars[tree.n + last]
     region = new[low : high + grown]
-    if len(region) > LEAF_CHARS:
-        return new, build(new, encoder), len(new)
-    tree.put(first, len(region), tokens_of(region, low > 0, encoder))
-    for leaf in range(first + 1, last + 1):
-        if tree.chars[tree.n + leaf]:
-            tree.put(leaf, 0, 0)
+    words, ids = encoder.short(region)
+    cut = range(0, len(words), LEAF_WORDS)
+    chars = [sum(map(len, words[k : k + LEAF_WORDS])) for k in cut]
+    tokens = [sum(map(len, ids[k : k + LEAF_WORDS])) // 2 for k in cut]
+    if len(chars) > last + 1 - first:
+        n = tree.n
+        held = [*zip(tree.chars[n : n + first], tree.tokens[n : n + first], strict=True), *zip(chars, tokens, strict=True), *zip(tree.chars[n + last + 1 :], tree.tokens[n + last + 1 :], strict=True)]
+        return new, Tree([c for c, _ in held if c], [t for c, t in held if c]), len(region)
+    for k in range(first, last + 1):
+        at = k - first
+        if at < len(chars) or tree.chars[tree.n + k]:
+            tree.put(k, *((chars[at], tokens[at]) if at < len(chars) else (0, 0)))
     return new, tree, len(region)
 
 
@@ -127,8 +134,9 @@ def with_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     def counted(texts):
         import pandas as pd
 
-        trees = [build(t or "", bpe.encoder(path)) for t in texts]
-        return pd.DataFrame({"n": [t.total for t in trees], "tree": [t.dump() for t in trees]})
+        coded = bpe.encoder(path).encoded(pa.array(texts, pa.string(), from_pandas=True))
+        rows = [(sum(tokens), np.array([chars, tokens], "<u4").T.tobytes()) for chars, tokens in leaves(coded)]
+        return pd.DataFrame(rows, columns=["n", "tree"])
 
     out = without(docs, "n_tokens", "token_tree", "_counted").withColumn("_counted", counted(F.col(text)))
     return out.withColumns({"n_tokens": F.col("_counted.n"), "token_tree": F.col("_counted.tree")}).drop("_counted")

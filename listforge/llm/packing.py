@@ -39,16 +39,18 @@ Configuration = tuple[tuple[int, int], ...]  # (length, how many), longest first
 
 def _cut(path: str, end_id: int, capacity: int):
     def run(batches):
-        encoder, end = bpe.encoder(path), np.array([end_id], "<u2").tobytes()
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = np.frombuffer(encoder.encode(text or "") + end, "<u2").astype("<u4").tobytes()
-                n = len(ids) // 4
+        encoder, end = bpe.encoder(path), np.array([end_id], "<u4").tobytes()
+        for group in bpe.grouped(batches):
+            ids, bounds = encoder.encoded(group.column(1)).joined()
+            data, rows = memoryview(ids.astype("<u4").tobytes()), []
+            for doc_id, low, high in zip(group.column(0).to_pylist(), bounds.tolist(), bounds[1:].tolist(), strict=False):
+                n = high - low + 1
                 first = n % capacity or capacity
                 for k, start in enumerate([0, *range(first, n, capacity)]):
                     stop = first if not k else start + capacity
-                    rows.append((doc_id, k, start, stop - start, zlib.crc32(ids[4 * start : 4 * stop])))
+                    # The end id stands behind the document's own ids.
+                    crc = zlib.crc32(data[4 * (low + start) : 4 * min(low + stop, high)])
+                    rows.append((doc_id, k, start, stop - start, zlib.crc32(end, crc) if stop == n else crc))
             yield arrow(rows, PIECES)
 
     return run

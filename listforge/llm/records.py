@@ -7,15 +7,18 @@ named part-NNNNN.bin in ascending order of ids; the index, a Parquet table, has
 a reader can take records in any order.
 
 Files are written under a name of their own for each attempt and then renamed: an attempt that is repeated after a lost
-executor writes the same bytes again.
+executor writes the same bytes again, for rows have one order: by id, then by a hash of the text, then as the input lies.
+That order also divides an id of any number of rows among files. What attempts left unfinished is deleted at the end.
 
-Defined results: a null text counts as empty and holds the end id alone; equal ids keep any order among themselves;
-repeated rows are separate records; an empty table gives no file and an empty result; a record that fails a checksum
-or breaks off fails the read.
+Defined results: a null text counts as empty and holds the end id alone; null ids come first; equal ids are ordered by a
+hash of their texts; repeated rows are separate records; a text of any length is one record; an empty table gives no file
+and an empty result; further columns of the input, whatever their names, aren't written; a record that fails a checksum or
+breaks off fails the read.
 """
 
 from __future__ import annotations
 
+import re
 import struct
 import uuid
 import zlib
@@ -23,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSelector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +35,7 @@ from .common import arrow, scratch_path, shared_fs, small_batches, table
 
 MASK = 0xA282EAD8
 NO_ID = -(1 << 63)
+UNFINISHED = re.compile(r"_\d{5,}-[0-9a-f]{32}")
 
 
 def masked(data: bytes) -> int:
@@ -81,16 +86,16 @@ def _writer(uri: str, path: str, end_id: int):
         number = TaskContext.get().partitionId()
         final, own = f"{root}/part-{number:05d}.bin", f"{root}/_{number:05d}-{uuid.uuid4().hex}"
         out, at = None, 0
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if out is None:
-                    out = fs.open_output_stream(own)
-                ids = encoder.encode(text or "") + end
-                data = frame(serialize(doc_id, ids))
-                out.write(data)
-                rows.append((number, doc_id, at, len(data), len(ids) // 2))
-                at += len(data)
+        for group in bpe.grouped(batches):
+            ids, bounds = encoder.encoded(group.column(1)).joined()
+            data, rows = memoryview(ids.tobytes()), []
+            if out is None:
+                out = fs.open_output_stream(own)
+            for doc_id, low, high in zip(group.column(0).to_pylist(), bounds.tolist(), bounds[1:].tolist(), strict=False):
+                record = frame(serialize(doc_id, b"".join((data[2 * low : 2 * high], end))))
+                out.write(record)
+                rows.append((number, doc_id, at, len(record), high - low + 1))
+                at += len(record)
             yield arrow(rows, INDEX)
         if out is not None:
             out.close()
@@ -106,9 +111,12 @@ def write(docs: DataFrame, uri: str, path: str, end_id: int = 0, text: str = "te
     fs, root = shared_fs(uri)
     fs.create_dir(root)
     files = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    ordered = rows.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(_writer(uri, path, end_id), INDEX_DDL).write.mode("overwrite").parquet(f"{uri}/index")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("hash"), F.monotonically_increasing_id().alias("row"))
+    ordered = rows.repartitionByRange(files, "doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "row")
+    ordered.select("doc_id", "text").mapInArrow(_writer(uri, path, end_id), INDEX_DDL).write.mode("overwrite").parquet(f"{uri}/index")
+    for left in fs.get_file_info(FileSelector(root)):
+        if UNFINISHED.fullmatch(left.base_name):
+            fs.delete_file(left.path)
     return spark.read.schema(INDEX_DDL).parquet(f"{uri}/index")
 
 

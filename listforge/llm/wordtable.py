@@ -1,24 +1,30 @@
 """BPE encoding and decoding through a table of distinct words.
 
-1. Documents are taken in groups of about GROUP_BYTES, as they lie in the input's partitions. A group becomes the list of its distinct words and, for every
-   word of every document, its place in that list.
-2. The words of all groups meet by hash in buckets; each distinct word of the corpus is encoded once, and every group
-   gets the ids of its words back.
-3. Group and ids are joined again, and ids are put in place of words by position. Decoding takes the pieces of ids from
-   the vocabulary (a table of fixed size).
-
-What moves is packed: a group's share of a bucket is one row. A bucket holds a word once a group at most, so that
-frequent words don't gather, and the number of buckets follows the shuffle partitions.
-
-Defined results: a null text counts as empty and has no ids; repeated rows are separate rows; an empty table gives an
-empty result; a document longer than a group is a group of its own; other columns don't pass through (join by id).
+1. Documents are taken in groups of about GROUP_BYTES, as they lie in the input's partitions, and cut into words (see
+   bpe.py). A group becomes the list of its distinct words and, for every word of every document, its place in that list.
+2. The words of all groups meet by hash in buckets, which are read row by row: a bucket's table of words is bounded, and
+   a word of the corpus is encoded once while it is in the table. Every group gets the ids of its words back.
+3. Group and ids are joined again, and ids are put in place of words by position. `decode` joins ids with the table of
+   pieces; the query takes pieces from the same table inside the task.
+
+Words aren't rows of their own: all occurrences of all words, each with its document and position, would be many times
+the texts, to shuffle and to sort. What moves is packed: a group's share of a bucket is one row. A bucket holds a word
+once a group at most, so that frequent words don't gather; there are as many buckets as shuffle partitions.
+
+Groups are made twice, once for their words and once for their documents, since that costs less than keeping them. Their
+names say what they hold, so that groups which differ can't be joined; `encode` writes its input first unless it is told
+that the input is stored.
+
+Defined results: a null text counts as empty and has no ids; repeated rows and rows of equal ids are separate rows; an
+empty table gives an empty result; a document longer than a group is a group of its own; other columns don't pass through
+(join by id).
 """
 
 from __future__ import annotations
 
 import hashlib
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import arrow, small_batches, table
-
-GROUP_BYTES = 8 << 20
+from .common import arrow, materialize, small_batches, table
 
 GROUPS = pa.schema([("grp", pa.string()), ("bucket", pa.int32()), ("n", pa.int32()), ("data", pa.binary())])
+GROUPS_DDL = "grp string, bucket int, n int, data binary"
 
 
 def _pack(data: bytes) -> bytes:
@@ -53,79 +58,59 @@ def _split(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip([4 + 4 * n, *ends], ends, strict=False)]
 
 
-def keys(text: str) -> list[str]:
-    """What is encoded for each word: the first as it is, later ones with their space."""
-    first, *rest = bpe.words(text) or [""]
-    return [first, *[f" {w}" for w in rest]] if text else []
-
-
-class _Group:
-    def __init__(self):
-        self.place: dict[str, int] = {}
-        self.docs: list[tuple[int, int]] = []
-        self.words: list[np.ndarray] = []
-        self.size = 0
-
-    def add(self, doc_id, text: str) -> None:
-        place, got = self.place, keys(text)
-        self.words.append(np.array([place.setdefault(w, len(place)) for w in got], np.uint32))
-        self.docs.append((doc_id, len(got)))
-        self.size += len(text)
-
-    def rows(self, name: str, buckets: int, words: bool):
-        """One row of the words of each bucket, or one of the documents (bucket -1)."""
-        shares: list[list[bytes]] = [[] for _ in range(buckets)]
-        order: list[list[int]] = [[] for _ in range(buckets)]
-        for word, place in self.place.items():
-            data = word.encode()
-            bucket = zlib.crc32(data) % buckets
-            shares[bucket].append(data)
-            order[bucket].append(place)
-        if words:
-            for bucket, share in enumerate(shares):
-                if share:
-                    yield name, bucket, len(share), _pack(_strings(share))
-            return
-        # Places are renumbered to follow the shares, so that these need no numbers of their own.
-        new = np.empty(len(self.place), np.uint32)
-        new[[p for part in order for p in part]] = np.arange(len(self.place))
-        at = new[np.concatenate(self.words)]
-        planes = np.ascontiguousarray(at.view(np.uint8).reshape(-1, 4).T).tobytes()
-        ids = pa.RecordBatch.from_arrays([pa.array([d for d, _ in self.docs], pa.int64())], ["doc_id"])
-        yield name, -1, len(self.place), _pack(_strings([ids.serialize().to_pybytes(), np.array([n for _, n in self.docs], "<u4").tobytes(), planes]))
-
-
-def _grouped(buckets: int, words: bool):
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
+
+
+def buckets_of(words: pa.Array, buckets: int) -> np.ndarray:
+    """A bucket for each word (none is empty), by a polynomial hash of its bytes."""
+    bounds = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[bounds[0] : bounds[-1]].astype(np.uint64) + np.uint64(1)
+    bounds = bounds - bounds[0]
+    powers, back = (np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(len(data), x, np.uint64)])) for x in (_BASE, _BACK))
+    found = np.add.reduceat(data * powers[:-1], bounds[:-1]) * back[bounds[:-1]]
+    found = (found ^ found >> np.uint64(32)) * np.uint64(0xFF51AFD7ED558CCD)
+    return (found >> np.uint64(33)).astype(np.int64) % buckets
+
+
+def _rows(group: pa.RecordBatch, name: str, buckets: int, want_words: bool, whole: list[bytes]) -> list[tuple]:
+    """One row of a group's words for each bucket, or one of its documents (bucket -1)."""
+    words, offsets, _ = bpe.split(group.column(1).fill_null(""), whole)
+    coded = words.dictionary_encode()
+    at = buckets_of(coded.dictionary, buckets) if len(coded.dictionary) else np.zeros(0, np.int64)
+    order = np.argsort(at, kind="stable")
+    shares = coded.dictionary.take(pa.array(order))
+    places = np.empty(len(order), np.uint32)
+    places[order] = np.arange(len(order))
+    codes = places[coded.indices.to_numpy()]
+    name = f"{name}-{zlib.crc32(codes.tobytes(), zlib.crc32(b''.join(b.to_pybytes() for b in shares.buffers()[1:] if b))):08x}"
+    if want_words:
+        held, cuts = [w.encode() for w in shares.to_pylist()], np.searchsorted(at[order], np.arange(buckets + 1)).tolist()
+        return [(name, k, high - low, _pack(_strings(held[low:high]))) for k, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)) if low < high]
+    planes = np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T).tobytes()
+    ids = pa.RecordBatch.from_arrays([group.column(0)], ["doc_id"])
+    return [(name, -1, len(order), _pack(_strings([ids.serialize().to_pybytes(), np.diff(offsets).astype("<u4").tobytes(), planes])))]
+
+
+def _grouped(path: str, buckets: int, want_words: bool):
     """Groups of a partition. The same partition gives the same groups under the same names each time it is read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        partition, number, group = TaskContext.get().partitionId(), 0, _Group()
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                group.add(doc_id, text or "")
-                if group.size >= GROUP_BYTES:
-                    yield arrow(list(group.rows(f"{partition}-{number}", buckets, words)), GROUPS)
-                    group, number = _Group(), number + 1
-        if group.docs:
-            yield arrow(list(group.rows(f"{partition}-{number}", buckets, words)), GROUPS)
+        partition, whole = TaskContext.get().partitionId(), bpe.encoder(path).whole
+        for number, group in enumerate(bpe.grouped(batches)):
+            yield arrow(_rows(group, f"{partition}-{number}", buckets, want_words, whole), GROUPS)
 
     return run
 
 
 def _encoded(path: str):
-    def run(key, shares):
-        encoder, known = bpe.encoder(path), {}
-        rows = []
-        for grp, bucket, n, data in zip(*(shares.column(c).to_pylist() for c in GROUPS.names), strict=True):
-            words = [w.decode() for w in _split(_unpack(data))]
-            missing = [w for w in words if w not in known]
-            later = [w for w in missing if w[0] == " " and w[1:2].strip()]
-            known.update(zip(later, encoder.later([w[1:] for w in later]), strict=True))
-            known.update((w, encoder.ids(w).tobytes()) for w in missing if w not in known)
-            rows.append((grp, bucket, n, _pack(_strings([known[w] for w in words]))))
-        return pa.Table.from_batches([arrow(rows, GROUPS)], schema=GROUPS)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = bpe.encoder(path)
+        for batch in batches:
+            for grp, bucket, n, data in zip(*(batch.column(c).to_pylist() for c in GROUPS.names), strict=True):
+                yield arrow([(grp, bucket, n, _pack(_strings(encoder.known([w.decode() for w in _split(_unpack(data))]))))], GROUPS)
 
     return run
 
@@ -133,9 +118,12 @@ def _encoded(path: str):
 CODED = pa.schema([("doc_id", pa.int64()), ("ids", pa.binary())])
 DIGEST = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
+#: From the ids of a group's words, what turns the places of a document's words into an output row (without its id).
+Maker = Callable[[list[bytes]], Callable[[list[int]], tuple]]
+
 
-def _joined(schema: pa.Schema, row):
-    """A group's rows back to documents: one output row for each, made by row(doc_id, ids as <u2 bytes)."""
+def _joined(schema: pa.Schema, make: Maker):
+    """A group's rows back to documents: one output row for each."""
 
     def run(key, group):
         numbers = dict(zip(group.column("bucket").to_pylist(), group.column("n").to_pylist(), strict=True))
@@ -145,29 +133,34 @@ def _joined(schema: pa.Schema, row):
         head, counts, planes = _split(_unpack(parts.pop(-1)))
         doc_ids = pa.ipc.read_record_batch(pa.py_buffer(head), pa.schema([("doc_id", pa.int64())])).column(0).to_pylist()
         place = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
-        ids = [w for bucket in sorted(parts) for w in _split(_unpack(parts[bucket]))]
+        row = make([w for bucket in sorted(parts) for w in _split(_unpack(parts[bucket]))])
         rows, at = [], 0
         for doc_id, n in zip(doc_ids, np.frombuffer(counts, "<u4").tolist(), strict=True):
-            rows.append(row(doc_id, b"".join([ids[k] for k in place[at : at + n].tolist()])))
+            rows.append((doc_id, *row(place[at : at + n].tolist())))
             at += n
         return pa.Table.from_batches([arrow(rows, schema)], schema=schema)
 
     return run
 
 
-def _through(docs: DataFrame, path: str, schema: pa.Schema, ddl: str, row) -> DataFrame:
+def _through(docs: DataFrame, path: str, schema: pa.Schema, ddl: str, make: Maker) -> DataFrame:
+    """docs: doc_id and text, stored: they are read twice."""
     spark = docs.sparkSession
     small_batches(spark)
-    buckets = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ddl_groups = "grp string, bucket int, n int, data binary"
-    # The texts are split twice: that costs less than keeping what the first reading gave.
-    coded = docs.mapInArrow(_grouped(buckets, True), ddl_groups).groupBy("bucket").applyInArrow(_encoded(path), ddl_groups)
-    return docs.mapInArrow(_grouped(buckets, False), ddl_groups).unionByName(coded).groupBy("grp").applyInArrow(_joined(schema, row), ddl)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    words = docs.mapInArrow(_grouped(path, buckets, True), GROUPS_DDL).repartitionById(buckets, F.col("bucket"))
+    coded = words.mapInArrow(_encoded(path), GROUPS_DDL)
+    return docs.mapInArrow(_grouped(path, buckets, False), GROUPS_DDL).unionByName(coded).groupBy("grp").applyInArrow(_joined(schema, make), ddl)
+
 
+def _ids(words: list[bytes]):
+    return lambda places: (b"".join([words[k] for k in places]),)
 
-def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and ids (array of int) of each document."""
-    out = _through(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")), path, CODED, "doc_id long, ids binary", lambda d, ids: (d, ids))
+
+def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id", stored: bool = False) -> DataFrame:
+    """doc_id and ids (array of int) of each document. stored: docs reads a table, and gives the same rows each time."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    out = _through(rows if stored else materialize(rows, "texts"), path, CODED, "doc_id long, ids binary", _ids)
 
     @F.pandas_udf("array<int>")
     def numbers(column):
@@ -177,40 +170,45 @@ def encode(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id
 
 
 def decode(coded: DataFrame, path: str, ids: str = "ids", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and text of each row of ids, by a lookup of ids in the broadcast vocabulary (no join).
+    """doc_id and text of each row of ids, by a join of ids with pieces; null where ids are.
 
-    The vocabulary has a fixed size and is sent to the executors; bytes that aren't UTF-8 become U+FFFD. An id that the
-    vocabulary doesn't have fails the task.
+    The vocabulary has at most 65,536 pieces, which bounds what is broadcast. Rows get a number once, when they are
+    written. Bytes that aren't UTF-8 become U+FFFD. An id that the vocabulary doesn't have makes a text null.
     """
-    small_batches(coded.sparkSession)
-    found = coded.sparkSession.sparkContext.broadcast(bpe.pieces(path))
-
-    @F.pandas_udf("string")
-    def texts(column):
-        table = found.value
-        return column.map(lambda row: None if row is None else b"".join([table[i] for i in row]).decode(errors="replace"))
-
-    return coded.select(F.col(doc_id).alias("doc_id"), texts(F.col(ids)).alias("text"))
+    spark = coded.sparkSession
+    rows = materialize(coded.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids"), F.monotonically_increasing_id().alias("row")), "ids")
+    pieces = spark.createDataFrame([(i, bytearray(p)) for i, p in enumerate(bpe.pieces(path))], "id int, piece binary")
+    each = rows.select("row", F.posexplode("ids").alias("at", "id")).join(F.broadcast(pieces), "id", "left")
+    whole = each.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", F.hex("piece").alias("hex")))).alias("found"), F.count_if(F.col("piece").isNull()).alias("unknown"))
+    text = F.make_valid_utf8(F.unhex(F.array_join(F.transform("found", lambda x: x["hex"]), "")).cast("string"))
+    texts = whole.select("row", F.when(F.col("unknown") == 0, text).alias("text"))
+    return rows.join(texts, "row", "left").select("doc_id", F.when(F.size("ids") == 0, "").otherwise(F.col("text")).alias("text"))
+
+
+def _digest(path: str) -> Maker:
+    def make(words: list[bytes]):
+        names, pieces = _vocabulary(path)
+        numbers = [np.frombuffer(w, "<u2").tolist() for w in words]
+        sizes = [len(x) for x in numbers]
+        ids = [b",".join([names[i] for i in x]) for x in numbers]
+        texts = [b"".join([pieces[i] for i in x]) for x in numbers]
 
+        def row(places):
+            text = b"".join([texts[k] for k in places]).decode(errors="replace")
+            return sum([sizes[k] for k in places]), hashlib.sha256(b",".join([ids[k] for k in places])).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
-def _digest(path: str):
-    def row(doc_id, data: bytes):
-        numbers = np.frombuffer(data, "<u2").tolist()
-        names, pieces = _vocabulary(path)
-        ids = ",".join([names[i] for i in numbers])
-        text = b"".join([pieces[i] for i in numbers]).decode(errors="replace")
-        return doc_id, len(numbers), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+        return row
 
-    return row
+    return make
 
 
-_VOCABULARY: dict[str, tuple[list[str], list[bytes]]] = {}
+_VOCABULARY: dict[str, tuple[list[bytes], list[bytes]]] = {}
 
 
-def _vocabulary(path: str) -> tuple[list[str], list[bytes]]:
+def _vocabulary(path: str) -> tuple[list[bytes], list[bytes]]:
     if path not in _VOCABULARY:
         found = bpe.pieces(path)
-        _VOCABULARY[path] = [str(i) for i in range(len(found))], found
+        _VOCABULARY[path] = [str(i).encode() for i in range(len(found))], found
     return _VOCABULARY[path]
 
 

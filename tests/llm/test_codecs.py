@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from listforge.llm import automaton, bpe, counts, deobfuscate, gif, media, ngram_join, packing, records, secrets
@@ -91,9 +92,10 @@ def test_words_encode_as_whole_texts():
     rng, encoder = random.Random(5), bpe.Encoder(PATH, most=40)
     for _ in range(3000):
         t = "".join(rng.choice(ATOMS) for _ in range(rng.randint(0, 14)))
-        assert " ".join(bpe.words(t)) == t
+        found = encoder.encoded(pa.array([t]))
+        assert "".join(found.words.to_pylist()) == t == "".join(encoder.short(t)[0])
         want = encoder.tokenizer.encode(t, add_special_tokens=False).ids
-        assert np.frombuffer(encoder.encode(t), "<u2").tolist() == want
+        assert encoder.encode(t).tolist() == want == np.frombuffer(b"".join(encoder.short(t)[1]), "<u2").tolist()
         assert b"".join(bpe.pieces(PATH)[i] for i in want).decode() == t
 
 
@@ -111,6 +113,33 @@ def test_edits_count_as_new_texts():
     assert counts.edit(long, counts.build(long, encoder), 40000, 40005, "new", encoder)[2] < 2000
 
 
+def test_long_regions_are_divided():
+    encoder = bpe.Encoder(PATH)
+    t = "some words here " * 5000
+    tree = counts.build(t, encoder)
+    for start, stop, insert in ((40000, 40005, "more text " * 3000), (100, 200, "spaceless" * 4000), (36150, 36160, " a b"), (20000, 90000, ""), (0, 10**9, "x"), (0, 1, "")):
+        t, tree, n = counts.edit(t, tree, start, stop, insert, encoder)
+        assert tree.total == len(encoder.tokenizer.encode(t, add_special_tokens=False).ids) and tree.chars[1] == len(t)
+        assert n < len(insert) + 40000 and sum(map(bool, tree.chars[tree.n :])) * counts.LEAF_WORDS >= 0
+    again = counts.Tree.load(tree.dump())
+    assert again.total == 0 == len(t)
+
+
+def test_texts_encoded_together():
+    rng, encoder = random.Random(9), bpe.Encoder(PATH, most=60)
+    for _ in range(300):
+        texts = [rng.choice([None, "", "".join(rng.choice(ATOMS) for _ in range(rng.randint(0, 20)))]) for _ in range(rng.randint(0, 8))]
+        coded = encoder.encoded(pa.array(["before", *texts, " after"], pa.string()).slice(1, len(texts)))
+        ids, bounds = coded.joined()
+        for i, t in enumerate(texts):
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == encoder.tokenizer.encode(t or "", add_special_tokens=False).ids
+            words, at = coded.words.to_pylist()[coded.offsets[i] : coded.offsets[i + 1]], 0
+            for w, spaced in zip(words, coded.spaced[coded.offsets[i] :], strict=False):
+                assert not spaced or at and w[0] == " " and not t[at - 1].isspace() and not t[at + 1].isspace()
+                at += len(w)
+            assert at == len(t or "")
+
+
 def test_records():
     data = records.frame(records.serialize(7, b"\1\0\2\0")) + records.frame(records.serialize(None, b""))
     assert [records.parse(p) for _, p in records.unframe(io.BytesIO(data))] == [(7, b"\1\0\2\0"), (None, b"")]
@@ -187,7 +216,7 @@ def test_long_stretches_are_read():
 
 
 def test_forest_parameters():
-    assert ngram_join.shortest(10, 6, 0.8, 0.999) == 3
+    assert ngram_join.longest(10, 6, 0.8, 0.999) == 3 and ngram_join.longest() == 4
     a, b = ngram_join.Shingler()("a b c d e f g"), ngram_join.Shingler()("a b c d e f h")
     assert len(a) == 3 and ngram_join.jaccard(a, b) == 0.5 and ngram_join.jaccard(a[:0], b[:0]) == 0.0
     assert len(ngram_join.Shingler()("a b")) == 1 and not len(ngram_join.Shingler()(None))
