@@ -8,7 +8,8 @@ conditional expression.
 
 Defined results: a null or empty text has no words, fails the base rules and isn't kept; without labelled bad documents
 the list is empty and the base rules decide alone; a document labelled twice counts twice; repeated rows are separate
-rows; an empty table gives an empty result; other columns are carried along by `filter_quality`.
+rows; a text of any length is counted whole; an empty table gives an empty result; other columns, whatever their names,
+are carried along by `filter_quality`.
 """
 
 from __future__ import annotations
@@ -136,7 +137,7 @@ def learn(labelled: DataFrame, bad: str, key: str, max_rules: int = 8, max_condi
     # A row's value becomes the number of thresholds below it.
     rank_of = lambda n: F.size(F.filter(F.lit(thresholds[n]), lambda t: t < F.col(n)))
     ranks = [rank_of(n).alias(n) for n in FEATURES]
-    rows = materialize(values.select(*ranks, "bad", "prune"), "quality-labelled")
+    rows = materialize(values.select(*ranks, "bad", "prune"), "quality-labelled", True)
 
     def tests(rule: Rule) -> Column:
         place = [(F.col(c.feature), thresholds[c.feature].index(c.threshold), c.above) for c in rule]
@@ -213,10 +214,8 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def filter_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Those rows of docs that neither the base rules nor the learned list reject, with the columns of docs."""
-    stats = materialize(with_statistics(docs.select("doc_id", "text")).drop("text"), "quality-counts")
-    rules = learn_from_labels(stats, labels)
-    taken = [c for c in docs.columns if c.lower() in {n.lower() for n in (*COUNTS, *MORE, "_words", "_lines", "_marks", "_windows", "_starts")}]
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("text").alias("_text")) if taken else docs
-    if not taken:
-        return with_statistics(docs).where(~base_failed() & verdict(rules)).select(*docs.columns)
-    return with_statistics(held, "_text").where(~base_failed() & verdict(rules)).select("_doc.*")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), F.col("text").alias("_text"))
+    # Counts are computed once, and stored with the rows, whose columns may have any names.
+    stored = materialize(with_statistics(held, "_text").drop("_text"), "quality-counts")
+    rules = learn_from_labels(stored.select("_doc.doc_id", *COUNTS, *MORE), labels)
+    return stored.where(~base_failed() & verdict(rules)).select("_doc.*")
