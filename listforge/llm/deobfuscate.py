@@ -2,7 +2,7 @@
 
 A writer may have put look-alike signs for letters, separators between letters, or letters several times. Each sign of
 a suspicious stretch offers the letters it may stand for, at a price; the search finds the cheapest reading, prices of
-signs plus surprisal of letters.
+signs plus surprisal of letters, in time linear in the stretch, which may have any length and any number of separators.
 """
 
 from __future__ import annotations
@@ -23,14 +23,15 @@ for _c, _i in CODE.items():
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "¥": "y"}
 SEPARATORS = " .-_*~#'"
 LOOK, DROP, AGAIN, BORDER = 0.7, 0.4, 0.6, 6.0
-BEAM = 48
+#: From so many states on, those go that can't be part of the cheapest reading.
+CROWDED = 48
 #: Longer stretches are read as well, but not remembered.
 LONGEST = 48
 
 BORDERS = " \n\t"
 _BORDER = re.compile(f"[{BORDERS}]")
 _SIGNS = re.escape("".join(LOOKS)) + r".\-_*~#"
-_HINT = re.compile(rf"[^\W\d_][{_SIGNS}]{{1,3}}[^\W\d_]|(?<!\S)[{re.escape(''.join(LOOKS))}][^\W\d_]|[^\W\d_][@$|](?!\S)|([^\W\d_])\1\1")
+_HINT = re.compile(rf"[^\W\d_][{_SIGNS}]+[^\W\d_]|(?<!\S)[{re.escape(''.join(LOOKS))}][^\W\d_]|[^\W\d_][@$|](?!\S)|([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)\S(?:[ \t]\S){3,}(?!\S)")
 
 
@@ -52,7 +53,10 @@ class Model:
         c = counts.reshape(SIZE, SIZE, SIZE).astype(float)
         by_two, by_one = c.sum(axis=2, keepdims=True), c.sum(axis=0, keepdims=True)
         short = (by_one + 0.5) / (by_one.sum(axis=2, keepdims=True) + 0.5 * SIZE)
-        self.cost = (-np.log((c + 5 * short) / (by_two + 5))).ravel().tolist()
+        cost = -np.log((c + 5 * short) / (by_two + 5))
+        self.cost = cost.ravel().tolist()
+        # What follows is open to all states alike, and costs them the same but for two letters and a border.
+        self.slack = 3 * float(cost.max() - cost.min())
         self.known: dict[str, str] = {}
 
     def decode(self, span: str) -> str:
@@ -76,8 +80,9 @@ class Model:
                         key, s = (q, x), score + price + cost[p * 4096 + q * 64 + x]
                     if key not in new or new[key][0] > s:
                         new[key] = (s, (path, x))
-            if len(new) > BEAM:
-                new = dict(sorted(new.items(), key=lambda kv: kv[1][0])[:BEAM])
+            if len(new) > CROWDED:
+                most = min(s for s, _ in new.values()) + self.slack
+                new = {key: held for key, held in new.items() if held[0] <= most}
             states, before = new, sign
         _, path = min((score + (cost[p * 4096 + q * 64] if q else 0.0), path) for (p, q), (score, path) in states.items())
         out = []

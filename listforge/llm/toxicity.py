@@ -9,20 +9,21 @@
 
 Labels, language, source and id are no inputs of a score. Defined results: null counts as empty and scores like a text
 without known words; without labels, or with labels of one class, all scores are that class's share (0 without labels);
-repeated rows are separate rows; an empty table gives an empty result; `reject` carries all columns along.
+an id labelled more than once is toxic if any of its labels says so; a text of any length is read whole; repeated rows are
+separate rows; an empty table gives an empty result; `reject` carries all columns along, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
-from collections import Counter
+import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, small_batches, table
+from .common import arrow, materialize, small_batches, table
 from .deobfuscate import SIZE, Model, trigrams
 
 SAMPLE, FEATURES, BEGINNING, SEEN = 20_000, 4096, 4, 3
@@ -73,42 +74,37 @@ def held_out(doc_id: Column) -> Column:
 
 
 def learn(docs: DataFrame, labels: DataFrame, counts) -> tuple[dict[str, float], float]:
-    """Weights by feature, and the bias. counts: broadcast trigram counts."""
+    """Weights by feature, and the bias. counts: broadcast name and trigram counts."""
     spark = docs.sparkSession
-    known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    known = labels.where(F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     sample = spark.createDataFrame(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect(), "doc_id long, toxic int")
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "text")
 
     def words(batches):
-        model, n = Model(counts.value), [Counter(), Counter()]
-        total = [0, 0]
+        model = _model(counts)
         for batch in batches:
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n[toxic > 0].update(features(text, model))
-                total[toxic > 0] += 1
-        out = [("", *total)] + [(w, n[0][w], n[1][w]) for w in n[0].keys() | n[1].keys()]
-        yield arrow(out, pa.schema([("word", pa.string()), ("clean", pa.int64()), ("toxic", pa.int64())]))
-
-    seen = rows.mapInArrow(words, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    sizes = seen.where("word = ''").first()
-    if sizes is None or not sizes["clean"] or not sizes["toxic"]:
-        return {}, 20.0 if sizes and sizes["toxic"] else -20.0
-    n, t = float(sizes["clean"] + sizes["toxic"]), float(sizes["toxic"])
+            out = [(toxic > 0, sorted(features(text, model))) for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
+            yield arrow(out, pa.schema([("toxic", pa.bool_()), ("words", pa.list_(pa.string()))]))
+
+    # The sample's texts are read and decoded once.
+    stored = materialize(rows.mapInArrow(words, "toxic boolean, words array<string>"), "toxicity-sample")
+    sizes = stored.agg(F.count("*").alias("all"), F.count_if("toxic").alias("toxic")).first()
+    if not sizes["toxic"] or sizes["toxic"] == sizes["all"]:
+        return {}, 20.0 if sizes["toxic"] else -20.0
+    n, t = float(sizes["all"]), float(sizes["toxic"])
+    seen = stored.select("toxic", F.explode("words").alias("word")).groupBy("word").agg(F.count_if(~F.col("toxic")).alias("clean"), F.count_if("toxic").alias("toxic"))
     had, among = F.col("clean") + F.col("toxic"), F.col("toxic")
     part = lambda seen_, expected: F.when(seen_ > 0, seen_ * F.log(seen_ / expected)).otherwise(F.lit(0.0))
     tells = part(among, had * t / n) + part(had - among, had * (n - t) / n) + part(t - among, (n - had) * t / n) + part((n - t) - (had - among), (n - had) * (n - t) / n)
-    chosen = [r["word"] for r in seen.where((F.col("word") != "") & (had >= SEEN) & (had < n)).orderBy(F.desc(tells), "word").limit(FEATURES).collect()]
+    chosen = [r["word"] for r in seen.where((had >= SEEN) & (had < n)).orderBy(F.desc(tells), "word").limit(FEATURES).collect()]
     place = spark.sparkContext.broadcast({w: i for i, w in enumerate(chosen)})
 
     def present(batches):
-        model = Model(counts.value)
         for batch in batches:
-            out = []
-            for toxic, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                out.append((int(toxic > 0), sorted(place.value[w] for w in features(text, model) if w in place.value)))
+            out = [(int(toxic), sorted(place.value[w] for w in found if w in place.value)) for toxic, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield arrow(out, pa.schema([("y", pa.int32()), ("x", pa.list_(pa.int32()))]))
 
-    got = rows.mapInArrow(present, "y int, x array<int>").collect()
+    got = stored.mapInArrow(present, "y int, x array<int>").collect()
     weights, bias = logistic([r["x"] for r in got], np.array([r["y"] for r in got], float), len(chosen))
     return {w: float(x) for w, x in zip(chosen, weights, strict=True)}, float(bias)
 
@@ -133,7 +129,7 @@ def scorer(docs: DataFrame, labels: DataFrame):
     """A column function that scores a text column, fitted on labelled rows of docs."""
     spark = docs.sparkSession
     small_batches(spark)
-    counts = spark.sparkContext.broadcast(language_model(docs))
+    counts = spark.sparkContext.broadcast((uuid.uuid4().hex, language_model(docs)))
     fitted = spark.sparkContext.broadcast(learn(docs, labels, counts))
 
     @F.pandas_udf("double")
@@ -148,12 +144,12 @@ _MODELS: dict = {}
 
 
 def _model(counts) -> Model:
-    """The model of the counts that this process has just now."""
-    key = id(counts.value)
-    if key not in _MODELS:
+    """The model of these counts; a process holds one at a time."""
+    name, found = counts.value
+    if name not in _MODELS:
         _MODELS.clear()
-        _MODELS[key] = Model(counts.value)
-    return _MODELS[key]
+        _MODELS[name] = Model(found)
+    return _MODELS[name]
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
