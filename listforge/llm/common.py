@@ -21,9 +21,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session on one machine (local mode) gets a folder of its own; any other session must name one.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='listforge-')}"
         spark.conf.set("spark.checkpoint.dir", found)
         atexit.register(_remove_local, found)
@@ -55,11 +60,20 @@ def clear_scratch(spark: SparkSession) -> int:
     return gone
 
 
-def materialize(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
-    """Cut lineage with a Parquet table in the shared folder; a lost executor loses none of it."""
+#: A small table is written in this share of the files that its shuffle partitions would make.
+FEWER = 8
+
+
+def materialize(df: DataFrame, name: str, small: bool = False) -> DataFrame:
+    """Cut lineage with a Parquet table in the shared folder; a lost executor loses none of it.
+
+    small: rows come out of a shuffle and are much smaller than texts, so that fewer tasks write them.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
+    if small:
+        df = df.coalesce(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // FEWER))
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,24 +1,27 @@
 """N-gram Jaccard self-join with a MinHash LSH forest and exact verification.
 
-1. Texts with equal sets of 5-word shingles are copies: one representative of them, the smallest id, goes on.
-2. A representative has TREES * DEPTH MinHash values of 16 bits. In each of the TREES tries its label is DEPTH of them.
-   Labels are sorted over the whole cluster (ranges with the id as last key, so that a large group is divided), and
-   neighbours in that order share prefixes. Prefixes are cut from DEPTH to `shortest(...)`, the length at which a pair at
-   the threshold is met with the target recall: one length for all nodes and tables, that is, fixed banding.
-3. In a trie node of at most SMALL members all pairs are candidates whose signatures agree well enough; each candidate is
-   verified on the two texts. A pair that meets in several tries counts in the first of them alone.
-4. The members of a larger node are dealt by a hash of the id into blocks of about BLOCK, and for every two blocks one
-   group verifies all pairs between them exactly, with a product of their shingle matrices. What a group gives is the
-   number of these pairs by text and a spanning forest of them, fewer rows than twice its members, so that m near copies
-   don't make m * m / 2 rows and no class falls apart. Nodes at the borders of partitions meet in a second step.
-5. Verified pairs are links; connected documents are one class.
+1. Texts with equal sets of 5-word shingles are copies: one representative of them, the first row, goes on.
+2. A representative has TREES * DEPTH MinHash values of 16 bits. In each of the TREES tries its label is DEPTH of them; a
+   node of a trie is a prefix of labels. Matched prefixes are shortened node by node: from the longest length at which a
+   pair at the threshold is met with the target recall (`longest`), even if all tries matched at that length, on to
+   LEAST values as long as the node has no more than SMALL members. Most prefixes end at LEAST, where recall is higher;
+   crowded places of a trie keep longer ones.
+3. Nodes are sorted within partitions. In a node of at most SMALL members all pairs are candidates whose signatures agree
+   well enough; each candidate is verified on the two texts. A pair that meets in several tries counts in the first of
+   them alone; the lengths of its texts' prefixes tell where they met.
+4. The members of a node that is crowded at its longest prefix are dealt by a hash into blocks of about BLOCK, and for
+   every two blocks one group verifies all pairs between them exactly, with a product of their shingle matrices. What a
+   group gives is the number of these pairs by text and a spanning forest of them, fewer rows than twice its members, so
+   that m near copies don't make m * m / 2 rows and no class falls apart.
+5. Verified pairs are links; connected documents are one class, named by its smallest document id.
 
 `n_links` is the number of different texts that a verified link joins to the document's text, in nodes of any size. Copies
 count once, as `n_copies`.
 
 Defined results: null counts as empty; texts without words are copies of one another; a text of fewer than five words
-has one shingle, all its words; rows with a null id are classes of their own, with a null class; repeated rows are
-repeated in the result; an empty table gives an empty result; other columns don't pass through (join by id).
+has one shingle, all its words; a text of any length is read whole; rows with a null id are classes of their own, with a
+null class; repeated rows are repeated in the result, and rows that share an id but not a text are joined each by its own
+text; an empty table gives an empty result; other columns don't pass through (join by id), whatever their names.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import functions as F
 from .common import arrow, materialize, small_batches, table
 
 WORDS, THRESHOLD = 5, 0.8
-TREES, DEPTH, RECALL = 10, 6, 0.999
+TREES, DEPTH, LEAST, RECALL = 15, 4, 3, 0.999
 K = TREES * DEPTH
 SMALL = 24
 #: Agreeing values of K from which a pair is a candidate (3.5 standard deviations below the threshold).
@@ -49,7 +52,7 @@ _M = _rng.integers(1, 1 << 63, WORDS, dtype=np.uint64) | np.uint64(1)
 _WORDS_AT_MOST = 500_000
 
 
-def shortest(trees: int = TREES, depth: int = DEPTH, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
+def longest(trees: int = TREES, depth: int = DEPTH, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
     """The longest prefix at which pairs at the threshold still meet in one of the trees with the target recall."""
     return next((d for d in range(depth, 1, -1) if 1 - (1 - threshold**d) ** trees >= recall), 1)
 
@@ -93,16 +96,16 @@ def signature(shingles: np.ndarray) -> bytes:
     return (_mixed(low) & np.uint64(0xFFFF)).astype(">u2").tobytes()
 
 
-SIGNED = pa.schema([("doc_id", pa.int64()), ("key", pa.binary()), ("sig", pa.binary())])
+SIGNED = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("key", pa.binary()), ("sig", pa.binary())])
 
 
 def _sign(batches):
     shingler = Shingler()
     for batch in batches:
         rows = []
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc_id, text, hash_ in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
             shingles = shingler(text)
-            rows.append((doc_id, hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), signature(shingles)))
+            rows.append((doc_id, hash_, hashlib.blake2b(shingles.tobytes(), digest_size=16).digest(), signature(shingles)))
         yield arrow(rows, SIGNED)
 
 
@@ -111,66 +114,62 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) + len(b) else 0.0
 
 
-def gather(sigs: np.ndarray, tree: int, prefix: int) -> np.ndarray:
-    """Candidate pairs (rows of two places) of a small node of a trie that have met in no earlier trie."""
-    i, j = np.triu_indices(len(sigs), 1)
-    same = sigs[i] == sigs[j]
-    before = same.reshape(-1, TREES, DEPTH)[:, :tree, :prefix].all(axis=2).any(axis=1)
-    close = (same.sum(axis=1) >= CANDIDATE) & ~before
-    return np.column_stack([i[close], j[close]])
+def met_before(one: np.ndarray, two: np.ndarray, tree: int, lengths: np.ndarray) -> np.ndarray:
+    """Whether each signature of one is with each of two in a node of a trie before this one.
 
+    lengths: of the prefixes of one in each trie; what is in the same node has the same length.
+    """
+    met = np.zeros((len(one), len(two)), bool)
+    one, two = np.ascontiguousarray(one.T), np.ascontiguousarray(two.T)
+    for t in range(tree):
+        same = np.ones(met.shape, bool)
+        for k in range(DEPTH):
+            longer = lengths[:, t] > k
+            if not longer.any():
+                break
+            same[longer] &= one[t * DEPTH + k][longer, None] == two[t * DEPTH + k][None, :]
+        met |= same
+    return met
 
-FOUND = pa.schema([("tree", pa.int32()), ("prefix", pa.binary()), ("a", pa.int64()), ("b", pa.int64()), ("sig", pa.binary())])
-FOUND_DDL = "tree int, prefix binary, a long, b long, sig binary"
 
+def gather(sigs: np.ndarray, lengths: np.ndarray, tree: int) -> np.ndarray:
+    """Candidate pairs (rows of two places) of a small node of a trie that have met in no earlier trie."""
+    close = (sigs[:, None, :] == sigs[None, :, :]).sum(axis=2) >= CANDIDATE
+    return np.argwhere(np.triu(close, 1) & ~met_before(sigs, sigs, tree, lengths))
 
-def _edges(ids: np.ndarray, at: np.ndarray) -> list[tuple]:
-    a, b = ids[at[:, 0]], ids[at[:, 1]]
-    return [(None, None, x, y, None) for x, y in zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)]
 
+def signatures(column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """MinHash values and lengths of prefixes: a packed signature is the former in 16 bits each, then the latter in 8."""
+    packed = np.frombuffer(b"".join(column), np.uint8).reshape(-1, 2 * K + TREES)
+    return np.ascontiguousarray(packed[:, : 2 * K]).view(">u2").astype(np.uint16), packed[:, 2 * K :]
 
-def _tries(prefix: int):
-    """Candidates of a sorted partition; of its first and last node and of large ones the members (b is null)."""
 
-    def run(batches):
-        trees, ids, labels, sigs = [], [], [], []
-        for batch in batches:
-            trees.append(batch.column(0).to_numpy(zero_copy_only=False))
-            ids.append(batch.column(2).to_numpy(zero_copy_only=False))
-            labels += batch.column(1).to_pylist()
-            sigs += batch.column(3).to_pylist()
-        if not labels:
-            return
-        tree, id_ = np.concatenate(trees), np.concatenate(ids)
-        sig = np.frombuffer(b"".join(sigs), ">u2").reshape(-1, K)
-        node = np.frombuffer(b"".join(labels), ">u2").reshape(-1, DEPTH)[:, :prefix]
-        new = np.flatnonzero((tree[1:] != tree[:-1]) | (node[1:] != node[:-1]).any(axis=1)) + 1
-        bounds = [0, *new.tolist(), len(id_)]
-        rows: list[tuple] = []
-        for k, (low, high) in enumerate(zip(bounds, bounds[1:], strict=False)):
-            if k in (0, len(bounds) - 2) or high - low > SMALL:
-                for x in range(low, high):
-                    rows.append((int(tree[x]), labels[x][: 2 * prefix], int(id_[x]), None, sigs[x]))
-                    if len(rows) > 5000:
-                        yield arrow(rows, FOUND)
-                        rows = []
-            elif high - low > 1:
-                rows += _edges(id_[low:high], gather(sig[low:high], int(tree[low]), prefix))
-            if len(rows) > 5000:
-                yield arrow(rows, FOUND)
-                rows = []
-        yield arrow(rows, FOUND)
+LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
-    return run
 
+def _nodes(batches):
+    """Candidates of small nodes: rows of tree, node, rep and sig, sorted by node. Holds one node at a time."""
+    tree, node, ids, sigs = None, None, [], []
+    rows: list[tuple] = []
 
-def _across(prefix: int):
-    def run(key, group):
-        ids, tree = group.column("a").to_numpy(), key[0].as_py()
-        sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), ">u2").reshape(-1, K)
-        return pa.Table.from_batches([arrow(_edges(ids, gather(sigs, tree, prefix)), FOUND)], schema=FOUND)
+    def pairs():
+        if len(ids) < 2:
+            return []
+        held = np.array(ids)
+        a, b = held[gather(*signatures(sigs), tree).T]
+        return zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)
 
-    return run
+    for batch in batches:
+        for t, n, id_, sig in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            if (t, n) != (tree, node):
+                rows += pairs()
+                tree, node, ids, sigs = t, n, [], []
+            ids.append(id_)
+            sigs.append(sig)
+        yield arrow(rows, LINKS)
+        rows = []
+    rows += pairs()
+    yield arrow(rows, LINKS)
 
 
 def similar(one: list[np.ndarray], two: list[np.ndarray] | None, threshold: float) -> np.ndarray:
@@ -211,18 +210,6 @@ def similar(one: list[np.ndarray], two: list[np.ndarray] | None, threshold: floa
     return met / np.maximum(sizes[0][:, None] + sizes[1][None, :] - met, 1) >= threshold
 
 
-def met_before(one: np.ndarray, two: np.ndarray, tree: int, prefix: int) -> np.ndarray:
-    """Whether each signature of one is with each of two in a node of a trie before this one."""
-    met = np.zeros((len(one), len(two)), bool)
-    one, two = np.ascontiguousarray(one.T), np.ascontiguousarray(two.T)
-    for t in range(tree):
-        same = np.ones(met.shape, bool)
-        for k in range(t * DEPTH, t * DEPTH + prefix):
-            same &= one[k][:, None] == two[k][None, :]
-        met |= same
-    return met
-
-
 def forest(near: np.ndarray) -> list[tuple[int, int]]:
     """Edges of a spanning forest of a symmetric matrix of neighbours."""
     edges, unseen = [], np.ones(len(near), bool)
@@ -240,16 +227,16 @@ def forest(near: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _verified_block(key, group, threshold: float, prefix: int) -> tuple[np.ndarray, np.ndarray]:
+def _verified_block(key, group, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Ids of two blocks of a node (or of one) and the symmetric matrix of their verified pairs."""
     shingler, tree, x, y = Shingler(), key[0].as_py(), key[2].as_py(), key[3].as_py()
-    ids, block = group.column("doc_id").to_numpy(), group.column("block").to_numpy()
-    sigs = np.frombuffer(b"".join(group.column("sig").to_pylist()), ">u2").reshape(-1, K).astype(np.uint16)
+    ids, block = group.column("rep").to_numpy(), group.column("block").to_numpy()
+    sigs, lengths = signatures(group.column("sig").to_pylist())
     sets = [shingler(t) for t in group.column("text").to_pylist()]
     one, two = np.flatnonzero(block == x), np.flatnonzero(block == y)
     met = similar([sets[i] for i in one], None if x == y else [sets[i] for i in two], threshold)
     if met.any():
-        met &= ~met_before(sigs[one], sigs[two], tree, prefix)
+        met &= ~met_before(sigs[one], sigs[two], tree, lengths[one])
     near = np.zeros((len(ids), len(ids)), bool)
     near[np.ix_(one, two)] = met
     near |= near.T
@@ -260,11 +247,11 @@ def _verified_block(key, group, threshold: float, prefix: int) -> tuple[np.ndarr
 COUNTED = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
 
 
-def _within(threshold: float, prefix: int):
+def _within(threshold: float):
     """A spanning forest of the verified pairs of two blocks (n is null) and their number by text (b is null)."""
 
     def run(key, group):
-        ids, near = _verified_block(key, group, threshold, prefix)
+        ids, near = _verified_block(key, group, threshold)
         rows = [(*sorted((int(ids[i]), int(ids[j]))), None) for i, j in forest(near)]
         rows += [(i, None, n) for i, n in zip(ids.tolist(), near.sum(axis=1).tolist(), strict=True) if n]
         return pa.Table.from_batches([arrow(rows, COUNTED)], schema=COUNTED)
@@ -272,18 +259,15 @@ def _within(threshold: float, prefix: int):
     return run
 
 
-def _all_within(threshold: float, prefix: int):
+def _all_within(threshold: float):
     def run(key, group):
-        ids, near = _verified_block(key, group, threshold, prefix)
+        ids, near = _verified_block(key, group, threshold)
         i, j = np.nonzero(np.triu(near))
         return pa.table([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])], schema=LINKS)
 
     return run
 
 
-LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-
 def _verified(threshold: float):
     def run(batches):
         shingler, held = Shingler(), {}
@@ -305,24 +289,46 @@ def _verified(threshold: float):
     return run
 
 
+def forest_of(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, longer). nodes: tree, node (a prefix of labels), rep, size and depth of each representative that isn't alone
+    in its node; longer: rep, tree and depth where a prefix is longer than LEAST, the largest depth counts.
+
+    Prefixes are shortened node by node, see above. reps: rep and sig, stored.
+    """
+    labels = F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("sig", 1 + 2 * DEPTH * t, 2 * longest()).alias("label")) for t in range(TREES)])
+    rows = reps.select("rep", F.explode(labels).alias("x")).select("x.tree", "x.label", "rep")
+    prefix = lambda d: F.substring("label", 1, 2 * d)
+    out = longer = None
+    for depth in range(LEAST, longest() + 1):
+        rows = rows.withColumn("node", prefix(depth))
+        sizes = rows.groupBy("tree", "node").agg(F.count("*").alias("size")).where("size > 1")
+        # Both sides grow with the input, so that this join sorts and merges; a crowded node is divided as a skewed key.
+        sized = materialize(rows.hint("merge").join(sizes, ["tree", "node"]), "nodes", True)
+        done = sized if depth == longest() else sized.where(F.col("size") <= SMALL)
+        done = done.select("tree", "node", "rep", "size", F.lit(depth).alias("depth"))
+        out = done if out is None else out.unionByName(done)
+        rows = sized.where(F.col("size") > SMALL).select("tree", "label", "rep")
+        if depth < longest():
+            deeper = rows.select("rep", "tree", F.lit(depth + 1).alias("depth"))
+            longer = deeper if longer is None else longer.unionByName(deeper)
+    return out, longer
+
+
 def candidates(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs, crowds). pairs: a < b, each pair once, of small nodes; crowds: members of large nodes, once for every two
-    blocks x and y that their block is one of. reps: rep and sig, cheap to read again."""
-    spark = reps.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    labels = F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("sig", 1 + 2 * DEPTH * t, 2 * DEPTH).alias("label")) for t in range(TREES)])
-    rows = reps.select("rep", "sig", F.explode(labels).alias("x")).select("x.tree", "x.label", "rep", "sig")
-    ordered = rows.repartitionByRange(parts, "tree", "label", "rep").sortWithinPartitions("tree", "label", "rep")
-    found = materialize(ordered.mapInArrow(_tries(shortest()), FOUND_DDL), "forest")
-    spread = found.where("b is null").select("tree", "prefix", "a", "sig")
-    sizes = spread.groupBy("tree", "prefix").agg(F.count("*").alias("size")).where("size > 1")
-    sized = spread.hint("merge").join(sizes, ["tree", "prefix"])
-    across = sized.where(F.col("size") <= SMALL).groupBy("tree", "prefix").applyInArrow(_across(shortest()), FOUND_DDL)
-    blocks = F.ceil(F.col("size") / BLOCK)
-    crowd = sized.where(F.col("size") > SMALL).select("tree", "prefix", F.col("a").alias("doc_id"), "sig", blocks.alias("blocks"), F.pmod(F.xxhash64("a"), blocks).cast("int").alias("block"))
-    met = crowd.select("*", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))).alias("other"))
-    crowds = materialize(met.select("tree", "prefix", "doc_id", "sig", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y")), "crowds")
-    return found.where("b is not null").select("a", "b").unionByName(across.select("a", "b")), crowds
+    """(pairs, crowds). pairs: a < b, each pair once, of small nodes, stored; crowds: members of crowded nodes, once for
+    every two blocks x and y that their block is one of. reps: rep and sig, stored."""
+    parts = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    nodes, longer = forest_of(reps)
+    lengths = longer.groupBy("rep").agg(*[F.max(F.when(F.col("tree") == t, F.col("depth"))).alias(f"d{t}") for t in range(TREES)])
+    packed = F.concat("sig", *[F.unhex(F.lpad(F.hex(F.coalesce(f"d{t}", F.lit(LEAST))), 2, "0")) for t in range(TREES)])
+    signed = materialize(reps.hint("merge").join(lengths, "rep", "left").select("rep", packed.alias("sig")), "lengths", True)
+    placed = nodes.hint("merge").join(signed, "rep")
+    small = placed.where(F.col("size") <= SMALL).select("tree", "node", "rep", "sig").repartition(parts, "tree", "node").sortWithinPartitions("tree", "node")
+    pairs = materialize(small.mapInArrow(_nodes, "a long, b long"), "candidates")
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    crowd = placed.where(F.col("size") > SMALL).select("tree", "node", "rep", "sig", blocks.alias("blocks"), F.pmod(F.xxhash64("rep"), blocks).cast("int").alias("block"))
+    met = crowd.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return pairs, met.select("tree", "node", "rep", "sig", "block", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -331,60 +337,69 @@ def components(links: DataFrame) -> DataFrame:
     Each round takes the smallest class among neighbours and then that class's own class, and is written to the shared
     folder; links of shallow forests need few rounds.
     """
-    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
-    labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")), "classes")
+    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links", True)
+    labels = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("c")), "classes", True)
     while True:
         seen = both.join(labels.select(F.col("a").alias("b"), "c"), "b").groupBy("a").agg(F.min("c").alias("near"))
         nearer = labels.join(seen, "a").select("a", F.col("c").alias("old"), F.least("c", "near").alias("c"))
         jump = labels.select(F.col("a").alias("c"), F.col("c").alias("far"))
-        new = materialize(nearer.join(jump, "c", "left").select("a", F.least("c", "far").alias("c"), "old"), "classes")
+        new = materialize(nearer.join(jump, "c", "left").select("a", F.least("c", "far").alias("c"), "old"), "classes", True)
         labels = new.select("a", "c")
         if new.where("c <> old").isEmpty():
             return labels.select(F.col("a").alias("id"), F.col("c").alias("class"))
 
 
 def join(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """(members, links). members: doc_id, representative, class_id, n_copies, n_links; links: a, b of representatives.
+    """(members, links). members: doc_id, hash (of the text, with which it names a row of docs), representative (the
+    smallest id of its copies), class (a number, which tells classes apart whose ids are equal), class_id, n_copies, n_links; links: a, b of representatives.
 
-    links are found anew when they are read: only there the links of large nodes, m * m / 2 of m near copies, are rows.
+    links are found anew when they are read: only there the links of crowded nodes, m * m / 2 of m near copies, are rows.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = materialize(rows.mapInArrow(_sign, "doc_id long, key binary, sig binary"), "signed")
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("hash"))
+    signed = materialize(rows.mapInArrow(_sign, "doc_id long, hash long, key binary, sig binary").withColumn("row", F.monotonically_increasing_id()), "signed")
     known = signed.where("doc_id is not null")
-    copies = known.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n_copies"))
-    member = materialize(known.join(copies, "key").select("doc_id", "rep", "n_copies", F.when(F.col("doc_id") == F.col("rep"), F.col("sig")).alias("sig")), "members")
-    reps = member.where("sig is not null and n_copies > 0").groupBy("rep").agg(F.max("sig").alias("sig"))
-    pairs, crowds = candidates(materialize(reps, "representatives"))
-    pairs = materialize(pairs, "candidates")
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).unionByName(crowds.select("doc_id")).distinct()
+    # Rows are numbered where they are stored, so that representatives with equal ids stay apart.
+    first = F.min_by(F.struct("doc_id", "hash", "sig"), "row").alias("first")
+    copies = known.groupBy("key").agg(F.min("row").alias("rep"), F.min("doc_id").alias("least"), F.count("*").alias("n_copies"), first)
+    reps = materialize(copies.select("key", "rep", "least", "n_copies", "first.*"), "representatives", True)
+    pairs, crowds = candidates(reps.select("rep", "sig"))
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).unionByName(crowds.select("rep")).distinct()
     # Candidates grow with the input, so these joins sort and merge at every size: one plan, and nothing is broadcast.
-    texts = rows.join(ends.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    one = pairs.hint("merge").join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("one")), "a")
-    two = one.hint("merge").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("two")), "b")
-    apart = two.select("a", "b", "one", "two").mapInArrow(_verified(threshold), "a long, b long")
-    whole = crowds.hint("merge").join(texts, "doc_id").groupBy("tree", "prefix", "x", "y")
-    apart = materialize(apart, "verified")
-    within = materialize(whole.applyInArrow(_within(threshold, shortest()), "a long, b long, n long"), "within")
-    links = apart.unionByName(whole.applyInArrow(_all_within(threshold, shortest()), "a long, b long"))
+    wanted = reps.hint("merge").join(ends, "rep").select("rep", "doc_id", "hash")
+    texts = rows.hint("merge").join(wanted, ["doc_id", "hash"]).select("rep", "text").dropDuplicates(["rep"])
+    one = pairs.hint("merge").join(texts.select(F.col("rep").alias("a"), F.col("text").alias("one")), "a")
+    two = one.hint("merge").join(texts.select(F.col("rep").alias("b"), F.col("text").alias("two")), "b")
+    apart = materialize(two.select("a", "b", "one", "two").mapInArrow(_verified(threshold), "a long, b long"), "verified")
+    whole = crowds.hint("merge").join(texts, "rep").groupBy("tree", "node", "x", "y")
+    within = materialize(whole.applyInArrow(_within(threshold), "a long, b long, n long"), "within")
+    pairs = apart.unionByName(whole.applyInArrow(_all_within(threshold), "a long, b long"))
+    named = [reps.select(F.col("rep").alias(n), F.col("least").alias(f"id_{n}")) for n in ("a", "b")]
+    links = pairs.join(named[0], "a").join(named[1], "b").select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b"))
     enough = apart.unionByName(within.where("n is null").select("a", "b"))
     counts = apart.select(F.explode(F.array("a", "b")).alias("rep"), F.lit(1).cast("long").alias("n")).unionByName(within.where("b is null").select(F.col("a").alias("rep"), "n"))
     degrees = counts.groupBy("rep").agg(F.sum("n").alias("n_links"))
-    classes = components(enough).select(F.col("id").alias("rep"), "class")
-    table_ = degrees.join(classes, "rep")
-    members = member.drop("sig").join(table_, "rep", "left").select("doc_id", F.col("rep").alias("representative"), F.coalesce("class", "rep").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    lone = signed.where("doc_id is null").select("doc_id", F.lit(None).cast("long").alias("representative"), F.lit(None).cast("long").alias("class_id"), F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
+    linked = components(enough).select(F.col("id").alias("rep"), "class").join(reps.select("rep", "least"), "rep")
+    names = linked.groupBy("class").agg(F.min("least").alias("class_id"))
+    table_ = linked.join(names, "class").select("rep", "class", "class_id").join(degrees, "rep")
+    named = reps.select("key", "least", "n_copies", "rep").join(table_, "rep", "left").select("key", F.col("least").alias("representative"), F.coalesce("class", "rep").alias("class"), F.coalesce("class_id", "least").alias("class_id"), "n_copies", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    members = known.select("doc_id", "hash", "key").join(named, "key").drop("key")
+    lone = signed.where("doc_id is null").select("doc_id", "hash", *[F.lit(None).cast("long").alias(n) for n in ("representative", "class", "class_id")], F.lit(1).cast("long").alias("n_copies"), F.lit(0).cast("long").alias("n_links"))
     return members.unionByName(lone), links
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents joined on shared 5-word shingles at a Jaccard similarity of 0.8: classes and links."""
-    return join(table(spark, sf_dir, "documents").select("doc_id", "text"))[0]
+    return join(table(spark, sf_dir, "documents").select("doc_id", "text"))[0].drop("hash", "class")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each class, that with the smallest id, with the columns of docs; null ids all stay."""
+    """One row of each class, that with the smallest id (of equal ids, the smallest hash of its text), with the columns of
+    docs; rows with a null id all stay."""
     members, _ = join(docs)
-    kept = members.where("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    kept = members.where("class is not null").groupBy("class").agg(F.min(F.struct("doc_id", "hash")).alias("kept"))
+    mark = next(f"_hash{i}" for i in range(len(docs.columns) + 1) if f"_hash{i}" not in {c.lower() for c in docs.columns})
+    rows = docs.withColumn(mark, F.xxhash64("text"))
+    found = rows.join(kept.select(F.col("kept.doc_id").alias("doc_id"), F.col("kept.hash").alias(mark)), ["doc_id", mark], "left_semi")
+    return found.dropDuplicates(["doc_id", mark]).select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id is null"))

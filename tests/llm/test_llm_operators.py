@@ -264,6 +264,17 @@ def test_large_nodes_keep_classes_whole(spark):
     assert not apart, len(apart)
 
 
+def test_rows_of_one_id_keep_their_own_texts(spark):
+    one, two = prose(80), prose(80)
+    rows = [(1, one), (1, two), (1, two), (2, two + " tail"), (3, one.replace(" ", "  "))]
+    members, _ = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = Counter((r["doc_id"], r["n_copies"], r["n_links"]) for r in members.collect())
+    assert got == {(1, 2, 0): 1, (3, 2, 0): 1, (1, 2, 1): 2, (2, 1, 1): 1}
+    kept = ngram_join.keep_one(spark.createDataFrame([(*r, "x", "y") for r in rows], "doc_id long, text string, _hash0 string, row string"))
+    assert kept.columns == ["doc_id", "text", "_hash0", "row"]
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == sorted([(1, one), (1, two)])
+
+
 def test_links_of_large_nodes_are_all_counted(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 50)
     rows = near_copies([60, 200, 400])
@@ -273,3 +284,20 @@ def test_links_of_large_nodes_are_all_counted(spark, monkeypatch):
     assert len(found) == len(set(found)) and set(found) <= pairs and len(found) >= 0.998 * len(pairs)
     degree, got = Counter(x for p in found for x in p), {r["doc_id"]: r["n_links"] for r in members.collect()}
     assert all(got[i] == degree[i] for i, _ in rows)
+
+
+def test_prefixes_are_shortened_while_nodes_are_small(spark):
+    """A crowd that shares all of trie 0, some that share 3 of its values with it, two that share 3, and one that is alone."""
+    import struct
+
+    def sig(first, other):
+        return struct.pack(f">{ngram_join.K}H", *first, *[other * 100 + i for i in range(ngram_join.K - 4)])
+
+    rows = [(i, sig([1, 2, 3, 4], i)) for i in range(30)]
+    rows += [(100 + i, sig([1, 2, 3, 5], 100 + i)) for i in range(3)] + [(200, sig([1, 2, 3, 6], 200))]
+    rows += [(300 + i, sig([9, 9, 9, i], 300 + i)) for i in range(2)] + [(400, sig([8, 8, 8, 8], 400))]
+    nodes, longer = ngram_join.forest_of(spark.createDataFrame(rows, "rep long, sig binary"))
+    got = {r["rep"]: (r["depth"], r["size"]) for r in nodes.where("tree = 0").collect()}
+    assert all(got[i] == (4, 30) for i in range(30)) and all(got[100 + i] == (4, 3) for i in range(3))
+    assert got[300] == got[301] == (3, 2) and 200 not in got and 400 not in got
+    assert {r["rep"] for r in longer.where("tree = 0 and depth = 4").collect()} == {*range(30), 100, 101, 102, 200}
