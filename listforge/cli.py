@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import logging
+from collections.abc import Callable
 from dataclasses import replace
 from datetime import timedelta
 
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .config import STATUSES, Settings
 from .functions import render, text
-from .operators import lookups, views
+from .operators import external, lookups, views
 from .schema import ARCHIVE, TRACKER
 from .sources import files
 
@@ -21,17 +23,18 @@ log = logging.getLogger(__name__)
 class Desk:
     """What a person does with the shortlist."""
 
-    def __init__(self, spark: SparkSession, archive: str, tracker: str, settings: Settings, briefs: str = "briefs"):
+    def __init__(self, spark: SparkSession, archive: str, tracker: str, settings: Settings, briefs: str = "briefs", fetcher: Callable | None = None, extractor: Callable | None = None):
+        """fetcher: a factory of (url) -> text; extractor: a factory of (title, body) -> a JSON object of facts. Both are
+        asked on the driver, for one listing."""
         self.spark, self.s, self.briefs, self.archive_path = spark, settings, briefs, archive
+        self.fetcher, self.extractor = fetcher, extractor
         self.snapshots = files.Snapshots(spark, tracker, TRACKER)
 
     def archive(self) -> DataFrame:
-        rows = files.read_table(self.spark, self.archive_path, ARCHIVE)
-        return views.keyed(rows.withColumn("row_idx", F.monotonically_increasing_id()))
+        return views.keyed(files.read_ordered(self.spark, self.archive_path, ARCHIVE))
 
     def tracker(self) -> DataFrame:
-        rows = self.snapshots.read()
-        return rows.withColumns({"cu": text.canonical_url(F.col("url")), "row_idx": F.monotonically_increasing_id()})
+        return self.snapshots.read().withColumn("cu", text.canonical_url(F.col("url")))
 
     def listing(self, only_new: bool = False) -> list[str]:
         """Lines of the shortlist; --new leaves rows out after they got their numbers."""
@@ -61,6 +64,20 @@ class Desk:
         self.snapshots.replace(lookups.update_status(rows, cu, status))
         return True
 
+    def prepare_live(self, meta: dict) -> str:
+        """Fetch a listing's page anew, draw facts from it, and write its brief; the brief's path."""
+        body, error = "", "not fetched"
+        if self.fetcher:
+            try:
+                body, error = external.page_text(self.fetcher()(meta["url"]))
+            except Exception as e:  # a page may fail in any way; the brief says how
+                error = str(e)[: external.ERROR_MOST]
+        facts = {}
+        if body and self.extractor:
+            one = self.spark.createDataFrame([(meta.get("title") or "", body)], "title string, body string")
+            facts = json.loads(external.extracted(one, self.extractor).first()["brief_json"] or "{}")
+        return self.prepare(meta, body, facts, error)
+
     def prepare(self, meta: dict, body: str, facts: dict | None = None, error: str | None = None) -> str:
         """Write a brief and, unless the URL is tracked, a tracker row; the brief's path."""
         facts = facts or {}
@@ -73,8 +90,9 @@ class Desk:
         row = {"date_added": str(self.s.today), "status": "interested", "company": meta["company"], "role": meta["title"], "url": meta["url"], "next_followup": str(self.s.today + timedelta(days=7)), "brief_file": path.rsplit("/", 1)[-1], "notes": ""}
         row |= {k: str(meta.get(k) or "") for k in ("employment_type", "location", "deadline", "score", "track")}
         new = self.spark.createDataFrame([tuple(row[c] for c in TRACKER)], ", ".join(f"{c} string" for c in TRACKER))
-        new = new.withColumns({"cu": text.canonical_url(F.col("url")), "row_idx": F.lit(0).cast("long")})
         tracker = self.tracker()
+        last = tracker.agg(F.max("row_idx").alias("m")).first()["m"]
+        new = new.withColumns({"cu": text.canonical_url(F.col("url")), "row_idx": F.lit(0 if last is None else last + 1).cast("long")})
         if tracker.join(new.select("cu"), "cu", "left_semi").isEmpty():
             self.snapshots.replace(lookups.insert_absent(tracker, new))
         return path
@@ -132,7 +150,7 @@ def main(argv: list[str], desk: Desk) -> int:
     if meta is None:
         print("no such number")
         return 1
-    print(desk.prepare(meta, "", error="not fetched"))
+    print(desk.prepare_live(meta))
     return 0
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 from datetime import date
 from pathlib import Path
 
-# Search terms, vocabularies and excluded employers that results depend on.
+# Search terms, vocabularies, excluded employers and parameters of requests that results depend on.
 BOARD_QUERIES = (
     "studentermedhjælper data", "student assistant data", "studentermedhjælper IT", "student assistant IT",
     "data analyst student", "data engineer student", "business intelligence student", "machine learning student",
@@ -62,6 +62,14 @@ class Settings:
     candidate_profile: str = ""
     location_anchor: str = ""
     base: str = "."
+    board_url: str = ""
+    board_base: str = ""
+    api_url: str = ""
+    api_job_url: str = ""
+    api_search_param: str = "search"
+    api_page_param: str = "page"
+    api_zero_indexed: bool = False
+    api_params: tuple[tuple[str, str], ...] = (("countryCode", "DK"), ("sorting", "mostPopular"))
 
     @property
     def include_terms(self) -> tuple[str, ...]:

@@ -25,8 +25,8 @@ def blank(c: Column) -> Column:
 
 
 def any_in(text: Column, terms) -> Column:
-    """Whether any term is in the text; false without terms."""
-    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(t)) for t in terms], F.lit(False))
+    """Whether any term is in the text, which is computed once; false without terms."""
+    return F.exists(F.array(text), lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(t)) for t in terms], F.lit(False)))
 
 
 def unescaped(c: Column) -> Column:
@@ -102,17 +102,22 @@ def occurrences(text: Column, needle: str) -> Column:
     return F.floor((F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))) / len(needle)).cast("int")
 
 
+def danish_marks(text: Column) -> Column:
+    """Array of one struct: da, the marks of Danish, and en, those of English in a text, which is lowered once."""
+    s = F.concat(F.lit(" "), F.lower(stripped(blank(text))), F.lit(" "))
+    total = lambda x, terms: reduce(lambda a, b: a + b, [occurrences(x, t) for t in terms])
+    return F.transform(F.array(s), lambda x: F.struct(total(x, DANISH + DANISH_LETTERS).alias("da"), total(x, ENGLISH).alias("en")))
+
+
 def danish_counts(text: Column) -> tuple[Column, Column]:
     """(marks of Danish, marks of English) in a text."""
-    s = F.concat(F.lit(" "), F.lower(stripped(blank(text))), F.lit(" "))
-    total = lambda terms: reduce(lambda a, b: a + b, [occurrences(s, t) for t in terms])
-    return total(DANISH + DANISH_LETTERS), total(ENGLISH)
+    marks = F.get(danish_marks(text), F.lit(0))
+    return marks["da"], marks["en"]
 
 
 def looks_danish(text: Column, detected: Column | None = None) -> Column:
     """Main language Danish: what a detector says (da, or en, no, sv), else by marks. Under 40 characters: false."""
-    da, en = danish_counts(text)
-    by_marks = (da > 0) & (en < F.greatest(F.lit(3.0), da * 0.3))
+    by_marks = F.exists(danish_marks(text), lambda m: (m["da"] > 0) & (m["en"] < F.greatest(F.lit(3.0), m["da"] * 0.3)))
     if detected is not None:
         by_marks = F.when(detected == "da", True).when(detected.isin("en", "no", "sv"), False).otherwise(by_marks)
     return F.when(F.length(stripped(blank(text))) < 40, False).otherwise(by_marks)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,32 +12,59 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+_WRITTEN: list[str] = []
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: lineage ends there and no executor is needed to read it again."""
+    """df as a Parquet table in the shared folder: lineage ends there and no executor is needed to read it again.
+
+    The folder is spark.checkpoint.dir. Where it is unset, a session on one machine (local mode) gets one of its own; any
+    other session must name one.
+    """
     spark: SparkSession = df.sparkSession
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='listforge-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base}/{name}-{uuid.uuid4().hex}"
+        atexit.register(shutil.rmtree, base.removeprefix("file://"), ignore_errors=True)
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def first_per(df: DataFrame, *keys: str, order: str = "row_idx") -> DataFrame:
+def clear(spark: SparkSession, since: int = 0) -> int:
+    """Delete what this process wrote to the shared folder, from the table numbered `since` on; how many tables went."""
+    gone = _WRITTEN[since:]
+    for path in gone:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    del _WRITTEN[since:]
+    return len(gone)
+
+
+def mark() -> int:
+    """How many tables there are now; for clear."""
+    return len(_WRITTEN)
+
+
+def first_per(df: DataFrame, *keys: str, order: str | tuple = "row_idx") -> DataFrame:
     """The first row of each key."""
-    w = Window.partitionBy(*keys).orderBy(order)
+    w = Window.partitionBy(*keys).orderBy(*(order if isinstance(order, tuple) else (order,)))
     return df.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def best_per_url(df: DataFrame, url: str = "cu", score: str = "score_n", order: str = "row_idx") -> DataFrame:
     """The best row of each URL, the first of equals, with first_idx, where the URL appeared first. Empty URLs go.
 
-    One hash aggregate with partial sums: a URL of any number of rows doesn't gather in one task.
+    Before rows are exchanged, each partition keeps one row of a URL (the window's group limit) and one smallest place (a
+    partial hash aggregate), so that a URL of any number of rows doesn't gather in one task. Both sides are dealt by URL.
     """
-    whole = F.struct(*[F.col(c) for c in df.columns])
-    best = df.where(F.col(url) != "").groupBy(url).agg(F.max_by(whole, F.struct(F.col(score), -F.col(order))).alias("_best"), F.min(order).alias("first_idx"))
-    return best.select("_best.*", "first_idx")
+    rows = df.where(F.col(url) != "")
+    best = first_per(rows, url, order=(F.desc(score), F.col(order)))
+    return best.join(rows.groupBy(url).agg(F.min(order).alias("first_idx")), url).select(*df.columns, "first_idx")
 
 
 def greedy_two_keys(df: DataFrame, url: str = "cu", role: str = "rk", order: str = "row_idx") -> DataFrame:
@@ -43,7 +72,8 @@ def greedy_two_keys(df: DataFrame, url: str = "cu", role: str = "rk", order: str
 
     A dropped row bars nothing. Every round keeps the undecided rows that are first of both their keys and drops those
     that share a key with a kept row; the first undecided row is always decided. What is undecided is written to the
-    shared folder between rounds. A null role counts as empty; rows with an empty or null URL go.
+    shared folder between rounds, of which there are as many as the longest chain of rows that bar one another. A null
+    role counts as empty; rows with an empty or null URL go.
     """
     rest = df.where(F.col(url) != "").select(F.col(order).alias("i"), F.col(url).alias("u"), F.when(F.col(role) != "", F.col(role)).alias("r"))
     rest, kept = written(rest, "dedup"), None

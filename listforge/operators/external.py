@@ -6,11 +6,12 @@ once before they branch. The clients shipped here work without a network: a rule
 
 from __future__ import annotations
 
+import html
 import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import Settings
@@ -20,7 +21,7 @@ from ..shipping import ship
 #: Fetched bodies shorter than this are failures; longer ones are cut.
 BODY_LEAST, BODY_MOST, ERROR_MOST = 200, 6000, 140
 PROMPT_SCORE, PROMPT_BRIEF = 5000, 5500
-TOO_SHORT = "body too short (redirect/interstitial?)"
+TOO_SHORT = "the page has too little text"
 
 Fetcher = Callable[[str], str]
 Scorer = Callable[[str, str, str, str], str]
@@ -52,6 +53,22 @@ def fetched(df: DataFrame, make: Callable[[], Fetcher], s: Settings) -> DataFram
     return df.repartition(s.fetch_workers).mapInPandas(run, ddl)
 
 
+def failure_sample(df: DataFrame, most: int = 5) -> DataFrame:
+    """url and fetch_error of the first fetches that failed, in order of arrival."""
+    return df.where(F.col("fetch_error").isNotNull()).orderBy("row_idx").limit(most).select("url", "fetch_error")
+
+
+def web_fetcher() -> Fetcher:
+    """A client for pages behind URLs, as text."""
+    from ..sources.api import http
+
+    def get(url: str) -> str:
+        page = re.sub(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>", " ", http(url))
+        return html.unescape(re.sub(r"[ \t]+", " ", re.sub(r"<[^>]+>", "\n", page)))
+
+    return get
+
+
 def with_body(df: DataFrame) -> DataFrame:
     """body and source: the fetched text, else title, company and snippet."""
     has = text.blank(F.col("fetched")) != ""
@@ -113,7 +130,7 @@ def extracted(df: DataFrame, make: Callable[[], Callable[[str, str], str]], body
     return df.withColumn("_raw", answers.asNondeterministic()("title", body)).withColumn("brief_json", jsonx.valid_object(F.col("_raw"))).drop("_raw")
 
 
-def detected(text_column, make: Callable[[], Callable[[str], str | None]]):
+def detected(text_column: Column, make: Callable[[], Callable[[str], str | None]]):
     """A column of language codes from a detector, of the first 2,000 characters."""
 
     @F.pandas_udf("string")

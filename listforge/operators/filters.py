@@ -59,9 +59,14 @@ def without_errors(scored: DataFrame) -> DataFrame:
     return scored.where(F.coalesce(F.col("reasoning") != jsonx.ERROR, F.lit(True)))
 
 
+def gate(s: Settings, body: str = "body", detected: Column | None = None) -> Column:
+    """Why a fetched row goes: `deadline` if the one that its page states has passed, then `danish` if it is in Danish alone
+    (where asked for); null if it stays."""
+    late = (F.col("source") == "full") & dates.deadline_passed(F.col(body), s.today)
+    why = F.when(late, "deadline")
+    return why.when(text.looks_danish(F.col(body), detected), "danish") if s.drop_foreign_language else why
+
+
 def gated(df: DataFrame, s: Settings, body: str = "body", detected: Column | None = None) -> DataFrame:
-    """Fetched rows whose stated deadline has not passed, and, where asked for, that aren't in Danish alone."""
-    keep = ~((F.col("source") == "full") & dates.deadline_passed(F.col(body), s.today))
-    if s.drop_foreign_language:
-        keep &= ~text.looks_danish(F.col(body), detected)
-    return df.where(F.coalesce(keep, F.lit(True)))
+    """Fetched rows that no gate drops."""
+    return df.where(gate(s, body, detected).isNull())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import Settings
 from ..functions.text import bar, blank
@@ -58,6 +59,13 @@ def language_rates(archive: DataFrame, s: Settings) -> DataFrame:
     )
 
 
+def tech_rate(archive: DataFrame, s: Settings) -> DataFrame:
+    """How many matches there are, and how many of them at companies that are tech companies."""
+    hit = views.matches(archive, s)
+    tech = F.lower(F.trim(blank(F.col("is_tech_company")))) == "true"
+    return archive.agg(F.count_if(hit).alias("n"), F.count_if(hit & tech).alias("n_true"))
+
+
 def recurring_companies(archive: DataFrame, s: Settings, least: int = 2, most: int = 15) -> DataFrame:
     """Companies with at least two rows, the most frequent 15, and how many of their rows match."""
     grouped = archive.where(blank(F.col("company")) != "").groupBy("company").agg(F.count("*").alias("n"), F.count_if(views.matches(archive, s)).alias("n_matches"), F.min("row_idx").alias("first_idx"))
@@ -67,8 +75,9 @@ def recurring_companies(archive: DataFrame, s: Settings, least: int = 2, most: i
 def drift(df: DataFrame, day: Column, score: Column, s: Settings) -> DataFrame:
     """day, rows and rows at the threshold; bar in proportion to the best day. The blank day counts too."""
     by_day = df.groupBy(blank(day).alias("day")).agg(F.count("*").alias("n"), F.count_if(score >= s.score_threshold).alias("n_high"))
-    most = by_day.agg(F.max("n_high").alias("most"))
-    return by_day.crossJoin(F.broadcast(most)).select("day", "n", "n_high", bar(F.col("n_high"), F.col("most")).alias("bar"))
+    # A window without partitions is one task: it holds one row a day.
+    most = F.max("n_high").over(Window.partitionBy())
+    return by_day.withColumn("most", most).select("day", "n", "n_high", bar(F.col("n_high"), F.col("most")).alias("bar"))
 
 
 def outside_targets(archive: DataFrame, s: Settings, most: int = 15) -> DataFrame:
@@ -77,6 +86,11 @@ def outside_targets(archive: DataFrame, s: Settings, most: int = 15) -> DataFram
     return high.orderBy(F.desc("score_n"), "row_idx").limit(most)
 
 
+def last_runs(runs: DataFrame, most: int = 10) -> DataFrame:
+    """The last runs, in the order in which they were logged."""
+    return runs.orderBy(F.desc("row_idx")).limit(most).orderBy("row_idx")
+
+
 def funnel(teasers: DataFrame, s: Settings) -> DataFrame:
     """Counts by source: teasers, those that pass the prefilter, those with a body of their own."""
     passes = filters.passes_source_policy(F.col("source_site"), F.col("title"), F.col("snippet"), s)

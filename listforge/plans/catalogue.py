@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..config import BODY_SOURCES, EMPLOYMENT_TYPES, EXCLUDE_TERMS, TRACKS, WORK_MODES, Settings
 from ..functions import dates, jsonx, render, text
-from ..operators import dedup, filters, lookups, stats, views
-from ..sources import pages
+from ..operators import dedup, external, filters, lookups, stats, views
+from ..sources import api, cards, pages
 from . import adapter as A
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -293,10 +295,11 @@ def dist_bars(spark, d):
     return stats.distribution(A.archive(spark, d), F.col("track"), TRACKS).select("value", "n", "bar")
 
 
-@query(f"WITH {A.KEYED} SELECT c.track AS value, count(*) AS n FROM k c GROUP BY 1")
+@query(f"WITH {A.KEYED}, c AS (SELECT track AS value, count(*) AS n, min(row_idx) AS f FROM k GROUP BY 1) SELECT value, n, cast(row_number() OVER (ORDER BY n DESC, f) AS int) AS place FROM c")
 def dist_by_frequency(spark, d):
-    """A4."""
-    return stats.by_frequency(A.archive(spark, d), F.col("track")).select("value", "n")
+    """A4: with the place of each value."""
+    rows = stats.by_frequency(A.archive(spark, d), F.col("track"))
+    return rows.select("value", "n", F.row_number().over(Window.orderBy(F.desc("n"), "first_idx")).alias("place"))
 
 
 @query(f"WITH {A.KEYED} SELECT count(*) AS n_rows, count(DISTINCT url) AS n_urls, count(*) - count(DISTINCT url) AS n_duplicates, count(DISTINCT scraped_date) AS n_dates, min(scraped_date) AS first_date, max(scraped_date) AS last_date, count(*) FILTER (WHERE {A.MATCH}) AS n_matches, count(*) FILTER (WHERE {A.TARGET} AND NOT {A.OPEN}) AS n_closed, count(*) FILTER (WHERE score_n >= 75 AND NOT ({A.TARGET})) AS n_outside FROM k")
@@ -322,11 +325,10 @@ def pct_rates(spark, d):
     return stats.language_rates(A.archive(spark, d), S).select(text.percent(F.col("n_required"), F.col("n_rows")).alias("pct"))
 
 
-@query("SELECT count(*) AS n, count(*) FILTER (WHERE toxic = 1) AS n_true FROM labels")
+@query(f"WITH {A.KEYED} SELECT count(*) AS n, count(*) FILTER (WHERE is_tech_company = 'True') AS n_true FROM k WHERE {A.MATCH}")
 def tech_rate(spark, d):
-    """labels' yes or no, read as text."""
-    flag = F.when(F.col("toxic") == 1, " True ").otherwise("False")
-    return A.table(spark, d, "labels").agg(F.count("*").alias("n"), F.count_if(F.lower(F.trim(flag)) == "true").alias("n_true"))
+    """A7."""
+    return stats.tech_rate(A.archive(spark, d), S)
 
 
 @query(f"WITH {A.KEYED} SELECT company, n, n_matches FROM (SELECT company, count(*) AS n, count(*) FILTER (WHERE {A.MATCH}) AS n_matches, min(row_idx) AS f FROM k WHERE company <> '' GROUP BY company HAVING count(*) >= 2 ORDER BY n DESC, f LIMIT 15)")
@@ -426,10 +428,10 @@ def archive_projection(spark, d):
 @query("SELECT doc_id, CASE WHEN l.doc_id IS NOT NULL AND text <> '' THEN text ELSE left(text, 20) || chr(10) || source || chr(10) || lang END AS body, CASE WHEN l.doc_id IS NOT NULL AND text <> '' THEN 'full' ELSE 'snippet' END AS body_source FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id)".replace("l.doc_id IS NOT NULL", "l.got"). replace("SELECT DISTINCT doc_id FROM", "SELECT DISTINCT doc_id, true AS got FROM"))
 def body_fallback(spark, d):
     """Labelled documents were fetched; the others fall back to title, company and snippet."""
-    fetched = A.table(spark, d, "labels").select("doc_id", F.lit(True).alias("got")).distinct()
-    rows = A.table(spark, d, "documents").join(fetched, "doc_id", "left")
-    has = F.coalesce(F.col("got"), F.lit(False)) & (text.blank(F.col("text")) != "")
-    return rows.select("doc_id", F.when(has, F.col("text")).otherwise(F.concat_ws("\n", F.substring("text", 1, 20), "source", "lang")).alias("body"), F.when(has, "full").otherwise("snippet").alias("body_source"))
+    got = A.table(spark, d, "labels").select("doc_id", F.lit(True).alias("got")).distinct()
+    rows = A.table(spark, d, "documents").join(got, "doc_id", "left")
+    rows = rows.select("doc_id", F.when(F.col("got"), F.col("text")).alias("fetched"), F.substring("text", 1, 20).alias("title"), F.col("source").alias("company"), F.col("lang").alias("snippet"))
+    return external.with_body(rows).select("doc_id", "body", F.col("source").alias("body_source"))
 
 
 @query(f"WITH {A.KEYED} SELECT row_idx, CASE WHEN location = 'N/A' THEN company ELSE location END AS location FROM k")
@@ -500,8 +502,56 @@ def funnel_counters(spark, d):
 @query("SELECT * FROM (SELECT cast(cast(ts AS date) AS string) AS run_ts, count(*) AS scored FROM events GROUP BY 1) ORDER BY run_ts DESC LIMIT 10")
 def last_runs(spark, d):
     """Events of a day as a run; the last ten, ascending."""
-    runs = A.table(spark, d, "events").groupBy(F.col("ts").cast("date").cast("string").alias("run_ts")).agg(F.count("*").alias("scored"))
-    return runs.orderBy(F.desc("run_ts")).limit(10).orderBy("run_ts")
+    runs = A.table(spark, d, "events").groupBy(F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("scored"))
+    runs = runs.select(F.col("day").cast("string").alias("run_ts"), "scored", F.unix_date("day").alias("row_idx"))
+    return stats.last_runs(runs).drop("row_idx")
+
+
+CARD_DAYS = 900
+CARD = {
+    "title": "o_orderpriority || ' & <' || cast(o_orderkey AS string) || '>'",
+    "company": "CASE WHEN o_custkey % 11 = 0 THEN 'Politi ' || c_name WHEN o_custkey % 4 = 0 THEN '' ELSE c_name || ' ApS' END",
+    "url": "CASE WHEN o_orderkey % 13 = 0 THEN '' WHEN o_orderkey % 3 = 0 THEN '/jobs/' || cast(o_orderkey AS string) ELSE 'https://ats.example/' || cast(o_orderkey AS string) END",
+    "day": "cast(cast(o_orderdate AS date) AS string)",
+}
+
+
+@query(
+    f"SELECT o_orderkey // 32 AS page_id, title, CASE WHEN company = '' THEN 'N/A' ELSE company END AS company, CASE WHEN o_orderkey % 5 = 0 THEN 'N/A' WHEN o_orderkey % 7 = 0 THEN 'i dag' ELSE day END AS published_date, left(c_mktsegment || ' ' || day || ' more', 500) AS snippet, CASE WHEN url LIKE '/%' THEN 'https://board.example' ELSE '' END || url AS url FROM (SELECT *, "
+    + ", ".join(f"{e} AS {n}" for n, e in CARD.items())
+    + f" FROM orders LEFT JOIN customer ON o_custkey = c_custkey) WHERE url <> '' AND NOT contains(lower(company), 'politi') AND (o_orderkey % 5 = 0 OR o_orderkey % 7 = 0 OR cast(day AS date) >= DATE '{S.today}' - {CARD_DAYS})"
+)
+def result_page_cards(spark, d):
+    """Orders rendered as cards of result pages, 32 keys a page, and read back."""
+    rows = A.table(spark, d, "orders").join(A.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").selectExpr("*", *[f"{e} AS {n}" for n, e in CARD.items()])
+    safe = lambda c: F.replace(F.replace(F.col(c), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    stamp = F.when(F.col("o_orderkey") % 5 == 0, "").when(F.col("o_orderkey") % 7 == 0, '<time datetime="soon">i dag</time>').otherwise(F.concat(F.lit('<time datetime="'), F.col("day"), F.lit('T08:00">x</time>')))
+    html = F.concat(
+        F.lit('<div class="a jobsearch-result b"><a href="https://logo.example"><img src="x.png"></a><div class="jix-toolbar-top__company"><a> '), safe("company"), F.lit('</a></div><div><h4><a href="'), F.col("url"), F.lit('">'), safe("title"),
+        F.lit("</a></h4></div><script>var p = '<p>no</p>';</script><p>"), F.col("c_mktsegment"), F.lit(" <b>"), F.col("day"), F.lit("</b></p><p> </p><p>more</p>"), stamp, F.lit("</div>\n"),
+    )
+    pages_ = rows.select(F.expr("o_orderkey div 32").alias("page_id"), F.struct("o_orderkey", html.alias("h")).alias("c")).groupBy("page_id").agg(F.sort_array(F.collect_list("c")).alias("cs"))
+    pages_ = pages_.select("page_id", F.concat(F.lit("<html><body><p>above</p>"), F.array_join(F.transform("cs", lambda c: c["h"]), ""), F.lit("<p>below</p></body></html>")).alias("raw"))
+    found = cards.teasers(pages_, replace(S, max_days_old=CARD_DAYS, board_base="https://board.example"))
+    return found.select("page_id", "title", "company", "published_date", "snippet", "url")
+
+
+@query("SELECT c_name AS title, c_mktsegment AS company, 'https://hub.example/' || cast(c_custkey // 2 AS string) AS url, CASE WHEN length(c_name || repeat(' words', c_custkey % 60)) > 200 THEN 'full' END AS source FROM customer WHERE c_custkey = (SELECT min(x.c_custkey) FROM customer x WHERE x.c_custkey // 2 = customer.c_custkey // 2 AND x.c_custkey % 9 <> 0) AND c_custkey % 9 <> 0")
+def api_teasers(spark, d):
+    """Objects of an API, two to a URL; those published too early go, and the first of each URL stays."""
+    key = F.col("c_custkey")
+    old = F.when(key % 9 == 0, "1997-01-01T00:00").otherwise("1998-06-14T12:00")
+    raw = F.to_json(F.struct(F.col("c_name").alias("headline"), F.struct(F.col("c_mktsegment").alias("name")).alias("company"), F.concat(F.lit("https://www.hub.example/"), F.expr("c_custkey div 2").cast("string"), F.when(key % 2 == 0, "?utm_source=a").otherwise("/")).alias("url"), old.alias("publishedAt"), F.concat("c_name", F.repeat(F.lit(" words"), (key % 60).cast("int"))).alias("description")))
+    found = A.table(spark, d, "customer").select((key % 3).cast("int").alias("rank"), F.lit(1).alias("page"), key.alias("pos"), raw.alias("raw")).withColumn("rank", F.lit(0))
+    out = api.teasers(found, S)
+    return out.select("title", "company", F.regexp_replace(F.regexp_extract("url", r"^([^?]*)", 1), "www[.]|/$", "").alias("url"), "source")
+
+
+@query("SELECT url, 'HTTP ' || cast(400 + page_id % 100 AS string) AS fetch_error FROM pages WHERE page_id % 10 = 3 ORDER BY page_id LIMIT 5")
+def fetch_failure_sample(spark, d):
+    """The first five of the pages that failed."""
+    failed = F.when(F.col("page_id") % 10 == 3, F.concat(F.lit("HTTP "), (400 + F.col("page_id") % 100).cast("string")))
+    return external.failure_sample(A.table(spark, d, "pages").select(F.col("page_id").alias("row_idx"), "url", failed.alias("fetch_error")))
 
 
 @query("SELECT q AS query, p AS page, 'https://board.example/search?q=' || replace(q, ' ', '+') || '&page=' || cast(p AS string) AS url FROM (VALUES " + ", ".join(f"('{q}')" for q in S.board_queries) + ") v(q), (SELECT cast(unnest(range(1, 6)) AS int) AS p)")

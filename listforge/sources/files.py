@@ -53,19 +53,55 @@ class Snapshots:
         return sorted(done, key=lambda x: x.rsplit("/", 1)[1])
 
     def read(self) -> DataFrame:
-        """The current rows; none if nothing was written yet. Columns come by name, so that older snapshots still fit."""
+        """The current rows and row_idx, their order; none if nothing was written yet. Columns come by name, so that older
+        snapshots still fit."""
         found = self._all()
-        return by_name(self.spark.read.parquet(found[-1]), self.columns) if found else self.spark.createDataFrame([], strings(self.columns))
+        return with_order(self.spark.read.parquet(found[-1]), self.columns) if found else self.spark.createDataFrame([], strings(self.columns).add("row_idx", "long"))
 
     def replace(self, df: DataFrame, keep: int = 2) -> None:
         found = self._all()
         number = int(found[-1].rsplit("/", 1)[1].split("-")[0]) + 1 if found else 0
-        df.select(*self.columns).write.parquet(f"{self.base}/{number:09d}-{uuid.uuid4().hex}")
+        kept = (*self.columns, "row_idx") if "row_idx" in df.columns else self.columns
+        df.select(*kept).write.parquet(f"{self.base}/{number:09d}-{uuid.uuid4().hex}")
         for old in self._all()[:-keep]:
             fs, p = _fs(self.spark, old)
             fs.delete(p, True)
 
 
+def append_ordered(df: DataFrame, path: str, columns: Sequence[str], order: str = "row_idx") -> None:
+    """Append rows with their order of arrival: `row_idx` goes on from the largest that the table has.
+
+    Order among the new rows is that of the column `order`, whole numbers from 0. One writer at a time, as with a file.
+    """
+    spark = df.sparkSession
+    base = 0
+    if exists(spark, path):
+        last = read_ordered(spark, path, columns).agg(F.max("row_idx").alias("m")).first()["m"]
+        base = 0 if last is None or last < 0 else last + 1
+    placed = (F.col(order).cast("long") + base).alias("row_idx")
+    rows = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in columns], placed)
+    rows.write.mode("append").parquet(path)
+
+
+def read_ordered(spark: SparkSession, path: str, columns: Sequence[str]) -> DataFrame:
+    """The table's columns and row_idx, its order of arrival. Rows stored without one come first, in the order of reading."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], strings(columns).add("row_idx", "long"))
+    return with_order(spark.read.option("mergeSchema", "true").parquet(path), columns)
+
+
+def with_order(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
+    read = F.monotonically_increasing_id() - F.lit(1 << 62)
+    order = F.coalesce(F.col("row_idx"), read) if "row_idx" in rows.columns else read
+    return by_name(rows.withColumn("row_idx", order), (*columns, "row_idx"))
+
+
+def dump_first_pages(found: DataFrame, folder: str) -> None:
+    """The markup of the first page of each query as text, one folder a query, to look at when no card is found."""
+    first = found.groupBy("query").agg(F.min_by("raw", F.struct("page", "pos")).alias("raw"))
+    first.write.mode("overwrite").partitionBy("query").text(folder)
+
+
 def append(df: DataFrame, path: str, columns: Sequence[str]) -> None:
     """Append rows to a Parquet table; columns that the table has more or less of are matched by name on reading."""
     by_name(df, columns).write.mode("append").parquet(path)

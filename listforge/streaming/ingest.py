@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,45 +14,58 @@ from ..operators import dedup, external, filters, lookups, views
 from ..schema import ARCHIVE, RUNS
 from ..sources import files
 
+log = logging.getLogger(__name__)
 
-def ingest(teasers: DataFrame, archive_path: str, s: Settings, fetcher: Callable | None, scorer: Callable | None = None) -> dict[str, int]:
+
+def ingest(teasers: DataFrame, archive_path: str, s: Settings, fetcher: Callable | None, scorer: Callable | None = None, detector: Callable | None = None) -> dict[str, int]:
     """Teasers (row_idx and the columns of schema.TEASER) through all gates into the archive; counts of the funnel.
 
     Cheap gates come first. Fetched and scored rows are written to the shared folder before they branch, and failed
-    scorings aren't archived, so that the next run tries them again.
+    scorings aren't archived, so that the next run tries them again. Rows are archived in their order of arrival.
+    detector: a factory of functions (text) -> language code, for the language gates where these are asked for.
     """
-    spark = teasers.sparkSession
+    spark, since = teasers.sparkSession, dedup.mark()
+    speaks = lambda c: external.detected(c, detector) if detector and s.drop_foreign_language else None
     known = files.read_table(spark, archive_path, ARCHIVE).select(text.canonical_url(F.col("url")).alias("cu"))
     rows = teasers.withColumns({"cu": text.canonical_url(F.col("url")), "rk": text.role_key(F.col("company"), F.col("title"))})
     fresh = dedup.greedy_two_keys(lookups.unseen(rows, known))
     wanted = fresh.where(filters.passes_source_policy(F.col("source_site"), F.col("title"), F.col("snippet"), s) & ~filters.excluded_company(F.col("company"), s))
+    has_body = text.blank(F.col("description")) != ""
     early = F.lit(False)
     if s.drop_foreign_language:
-        early = text.confidently_danish(F.concat_ws(" ", "title", "snippet"))
+        # Only what would have to be fetched is judged by its teaser.
+        seen = F.concat_ws("\n", "title", "snippet")
+        early = ~has_body & text.confidently_danish(seen, speaks(seen))
     wanted = dedup.written(wanted.withColumn("early", early), "wanted")
     going = wanted.where("not early").drop("source")
-    preloaded = going.where("description is not null").withColumns({"fetched": F.col("description"), "fetch_error": F.lit(None).cast("string")})
-    to_fetch = going.where("description is null")
+    preloaded = going.where(has_body).withColumns({"fetched": F.col("description"), "fetch_error": F.lit(None).cast("string")})
+    to_fetch = going.where(~has_body)
     n_to_fetch = to_fetch.count()
     if fetcher is not None and s.fetch_bodies:
         to_fetch = external.fetched(to_fetch, fetcher, s)
     else:
         to_fetch = to_fetch.withColumns({"fetched": F.lit(""), "fetch_error": F.lit(None).cast("string")})
     bodies = dedup.written(external.with_body(to_fetch.unionByName(preloaded)), "bodies")
-    survivors = filters.gated(bodies, s)
+    bodies = dedup.written(bodies.withColumn("gate", filters.gate(s, "body", speaks(F.col("body")))), "gated")
+    for r in external.failure_sample(bodies).collect():
+        log.warning("not fetched, scored by its teaser: %s (%s)", r["url"], r["fetch_error"])
+    survivors = bodies.where("gate is null").drop("gate")
     scored = dedup.written(external.scored(survivors, scorer or external.rule_scorer(s), s), "scored")
     good = filters.without_errors(scored)
-    stored = good.withColumn("matched_skills", F.array_join("matched_skills", "; ")).select(*[F.col(c).cast("string").alias(c) for c in ARCHIVE])
-    files.append(stored, archive_path, ARCHIVE)
+    files.append_ordered(good.withColumn("matched_skills", F.array_join("matched_skills", "; ")), archive_path, ARCHIVE)
     counts = scored.agg(F.count("*").alias("scored"), F.count_if(F.col("reasoning") == "scoring error").alias("errors"), F.count_if((F.col("score") >= s.score_threshold) & F.col("employment_type").isin(*s.accepted_types)).alias("matches")).first()
-    n_bodies, n_wanted, n_going = bodies.count(), wanted.count(), going.count()
-    return {"teasers": rows.count(), "prefiltered": n_wanted, "danish_early": n_wanted - n_going, "deadline_dropped": n_bodies - counts["scored"], "fetched": n_to_fetch, "scored": counts["scored"], "errors": counts["errors"], "matches": counts["matches"]}
+    dropped = bodies.agg(F.count_if(F.col("gate") == "deadline").alias("deadline"), F.count_if(F.col("gate") == "danish").alias("danish")).first()
+    passed = wanted.agg(F.count("*").alias("all"), F.count_if("early").alias("early")).first()
+    out = {"teasers": rows.count(), "prefiltered": passed["all"], "danish_early": passed["early"], "danish_body": dropped["danish"], "deadline_dropped": dropped["deadline"], "fetched": n_to_fetch, "scored": counts["scored"], "errors": counts["errors"], "matches": counts["matches"]}
+    dedup.clear(spark, since)
+    return out
 
 
 def log_run(spark: SparkSession, path: str, run_ts: str, seconds: dict[str, float], counts: dict[str, int]) -> None:
     """One row of run metrics."""
     row = {"run_ts": run_ts} | {k: f"{v:.1f}" for k, v in seconds.items()} | {k: str(v) for k, v in counts.items()}
-    files.append(spark.createDataFrame([tuple(row.get(c, "") for c in RUNS)], ", ".join(f"{c} string" for c in RUNS)), path, RUNS)
+    one = spark.createDataFrame([tuple(row.get(c, "") for c in RUNS)], ", ".join(f"{c} string" for c in RUNS))
+    files.append_ordered(one.withColumn("row_idx", F.lit(0)), path, RUNS)
 
 
 def stream(teasers: DataFrame, archive_path: str, checkpoint: str, s: Settings, fetcher: Callable | None = None):
@@ -68,6 +82,5 @@ def stream(teasers: DataFrame, archive_path: str, checkpoint: str, s: Settings,
 
 
 def current_shortlist(spark: SparkSession, archive_path: str, s: Settings) -> DataFrame:
-    """The open shortlist of a stored archive; rows count in order of their dates and URLs."""
-    rows = files.read_table(spark, archive_path, ARCHIVE).withColumn("row_idx", F.monotonically_increasing_id())
-    return views.open_shortlist(views.keyed(rows), s)
+    """The open shortlist of a stored archive, whose rows count in their order of arrival."""
+    return views.open_shortlist(views.keyed(files.read_ordered(spark, archive_path, ARCHIVE)), s)

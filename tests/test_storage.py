@@ -22,7 +22,7 @@ def opener(url):
 def test_paged_source():
     reader = api.PagedReader({"queries": json.dumps(["data", "broken", "none"]), "base": "http://x/api", "opener": f"{__name__}.opener"})
     rows = [r for p in reader.partitions() for r in reader.read(p)]
-    assert [json.loads(r[3])["id"] for r in rows] == ["1", "2"]
+    assert [json.loads(r[4])["id"] for r in rows] == ["1", "2"]
     assert api.PagedReader({"queries": '["data"]'}).partitions() == []
 
 
@@ -121,7 +121,143 @@ def test_stream(spark, tmp_path, settings):
 
 def test_snapshots_start_empty(spark, tmp_path):
     s = files.Snapshots(spark, f"file://{tmp_path}/t", TRACKER)
-    assert s.read().schema.names == list(TRACKER) and s.read().count() == 0
+    assert s.read().schema.names == [*TRACKER, "row_idx"] and s.read().count() == 0
     for i in range(4):
         s.replace(spark.createDataFrame([tuple([str(i)] * len(TRACKER))], strings(TRACKER)))
     assert s.read().first()["url"] == "3" and len(s._all()) == 2
+
+
+def test_order_of_arrival_is_stored(spark, tmp_path):
+    """Files are read by size, so that the order of reading isn't that of two appends."""
+    path = f"{tmp_path}/a"
+    big = spark.range(400).selectExpr("399 - id AS row_idx", "cast(id AS string) AS title", "repeat('x', 50) AS url")
+    files.append_ordered(spark.createDataFrame([(0, "first"), (1, "second")], "row_idx int, title string").coalesce(1), path, ("title", "url"))
+    files.append_ordered(big.repartition(3), path, ("title", "url"))
+    files.append_ordered(spark.createDataFrame([(0, "last")], "row_idx int, title string"), path, ("title", "url"))
+    got = [r["title"] for r in files.read_ordered(spark, path, ("title", "url")).orderBy("row_idx").collect()]
+    assert got == ["first", "second", *[str(399 - i) for i in range(400)], "last"]
+    files.append(spark.createDataFrame([("old",)], "title string"), f"{tmp_path}/b", ("title",))
+    files.append_ordered(spark.createDataFrame([(0, "new")], "row_idx int, title string"), f"{tmp_path}/b", ("title",))
+    assert [r["title"] for r in files.read_ordered(spark, f"{tmp_path}/b", ("title",)).orderBy("row_idx").collect()] == ["old", "new"]
+
+
+def test_language_gates_and_failures(spark, tmp_path, settings, caplog):
+    from dataclasses import replace
+
+    def detector():
+        return lambda t: "da" if "dansk" in t else None
+
+    rows = [(0, "Data dansk", "A", "", "", "python " * 12, "https://a", "board", None, None), (1, "Data", "B", "", "", "python " * 12, "https://short", "board", None, None), (2, "Data engineer", "C", "", "", "", "https://c", "board", "dansk " * 60, "full"), (3, "SQL", "D", "", "", "sql", "https://gone", "board", None, None)]
+    df = spark.createDataFrame(rows, "row_idx long, " + ", ".join(f"{c} string" for c in TEASER))
+    with caplog.at_level("WARNING"):
+        counts = ingest.ingest(df, f"{tmp_path}/a", replace(settings, drop_foreign_language=True), fetchers(), detector=detector)
+    assert (counts["danish_early"], counts["danish_body"], counts["deadline_dropped"], counts["scored"]) == (1, 1, 0, 2)
+    assert [r.getMessage().split(": ")[1].split()[0] for r in caplog.records if "not fetched" in r.getMessage()] == ["https://short", "https://gone"]
+    assert ingest.ingest(df, f"{tmp_path}/b", replace(settings, drop_foreign_language=True), fetchers())["danish_early"] == 0
+
+
+BOARD_PAGE = """<html><p>outside</p><div class="jobsearch-result"><a href="https://logo"><img></a><div class="jix-toolbar-top__company"> <a>Co</a> &amp; Sons </div>
+<h4><a href="/job/1">Data <b>student</b></a></h4><p>One <i>two</i></p><p>  </p><p>three</p><time datetime="2026-06-14T01:00">i dag</time></div>
+<div class="jobsearch-result other"><h3><a href="https://x/2">Old</a></h3><time datetime="2025-01-01">x</time></div>
+<div class="jobsearch-result"><h4>No link</h4><time>i dag</time></div><div class="jobsearch-result"><h3><a href="https://x/3">Python developer</a></h3><time datetime="soon">i dag</time></div>
+<div class="jobsearch-result"><div class="jix-toolbar-top__company">Politiet</div><h3><a href="https://x/4">Data</a></h3></div><p>below</p></html>"""
+
+
+def web(url):
+    from urllib.parse import parse_qs, urlsplit
+
+    q = parse_qs(urlsplit(url).query)
+    if "board" in url:
+        return BOARD_PAGE if q["page"][0] == "1" and q["q"][0] == "python student" else "<html>nothing</html>"
+    docs = {("data", "0"): [{"id": 7, "title": "Data hub", "company": {"name": "H"}}, {"url": "https://www.h/8?ref=a", "title": "Eight"}], ("data", "1"): [{"url": "https://h/8", "title": "Eight again"}], ("sql", "0"): [{"id": 7, "title": "Data hub"}, {"id": 9, "title": "Nine", "published": "2020-01-01"}]}
+    assert q["countryCode"] == ["DK"]
+    return json.dumps({"docs": docs.get((q["search"][0], q["page"][0]), [])})
+
+
+def test_cards(spark, settings):
+    from dataclasses import replace
+
+    from listforge.sources import cards
+
+    pages_ = spark.createDataFrame([(0, BOARD_PAGE), (1, None), (2, "")], "page int, raw string")
+    got = cards.teasers(pages_, replace(settings, board_base="https://b")).drop("description", "source").collect()
+    assert [tuple(r) for r in got] == [
+        (0, 0, "Datastudent", "Co & Sons", "N/A", "2026-06-14", "One two three", "https://b/job/1", "board"),
+        (0, 3, "Python developer", "N/A", "N/A", "i dag", "", "https://x/3", "board"),
+    ]
+
+
+def test_api_parameters(settings):
+    s = {"queries": '["data", "sql"]', "base": "http://api", "opener": f"{__name__}.web", "search": "search", "first": "0", "params": '{"countryCode": "DK"}'}
+    reader = api.PagedReader(s)
+    rows = [r for p in reader.partitions() for r in reader.read(p)]
+    assert [(r[0], r[2], json.loads(r[4])["title"]) for r in rows] == [(0, 0, "Data hub"), (0, 0, "Eight"), (1, 0, "Data hub"), (1, 0, "Nine")]
+    assert reader.asked("", 3) == {"countryCode": "DK", "page": "3"}
+
+
+def test_commands(spark, tmp_path, capsys, monkeypatch):
+    """ingest, analyse and prepare, over sources that are read without a network."""
+    from listforge import __main__ as command
+
+    (tmp_path / "web_of_tests.py").write_text("import json\nBOARD_PAGE = " + repr(BOARD_PAGE) + "\n\n\n" + __import__("inspect").getsource(web))
+    monkeypatch.syspath_prepend(str(tmp_path))
+    spark.sparkContext.addPyFile(str(tmp_path / "web_of_tests.py"))
+    (tmp_path / "me.toml").write_text('name = "me"\ncandidate_profile = "c"\nlocation_anchor = "l"\nqueries = ["python student", "none"]\n')
+    common = ["--base", f"file://{tmp_path}/d", "--profiles", str(tmp_path), "--profile", "me", "--owner", "--today", "2026-06-15", "--no-fetch", "--board", "http://board", "--board-base", "https://b", "--api", "http://api", "--job-url", "https://h/"]
+    real = config.Settings
+
+    def settings_(**given):
+        return real(**given, api_queries=("data", "sql"), api_zero_indexed=True)
+
+    monkeypatch.setattr(config, "Settings", settings_)
+    assert command.main(["ingest", *common, "--dump", f"file://{tmp_path}/dump"], spark, opener="web_of_tests.web") == 0
+    out = capsys.readouterr().out
+    assert "teasers 4" in out and "scored 4" in out and (tmp_path / "d" / "report.md").exists()
+    assert any("jobsearch-result" in f.read_text() for f in (tmp_path / "dump").rglob("*.txt"))
+    titles = [r["title"] for r in files.read_ordered(spark, f"file://{tmp_path}/d/archive", ARCHIVE).orderBy("row_idx").collect()]
+    assert titles == ["Datastudent", "Python developer", "Data hub", "Eight"]
+    assert command.main(["ingest", *common], spark, opener="web_of_tests.web") == 0 and "scored 0" in capsys.readouterr().out
+    assert command.main(["analyse", *common], spark) == 0
+    out = capsys.readouterr().out
+    assert "Scored rows: 4" in out and "Runs" in out and out.count(" teasers, ") == 2
+    assert command.main(["prepare", *common], spark) == 0 and command.main(["prepare", *common, "https://x/3"], spark) == 0
+    assert command.main(["prepare", *common, "--status", "https://x/3", "applied"], spark) == 0
+    assert "updated" in capsys.readouterr().out
+
+
+def test_briefs_are_fetched_and_filled(spark, tmp_path, settings):
+    def extractor():
+        return lambda title, body: json.dumps({"must_have": [title, body[:6]], "company": "Found"})
+
+    desk = cli.Desk(spark, f"file://{tmp_path}/a", f"file://{tmp_path}/t", settings, f"file://{tmp_path}/b", fetchers(), extractor)
+    path = desk.prepare_live({"url": "https://ok", "title": "T", "company": "N/A"})
+    text = (tmp_path / "b" / path.rsplit("/", 1)[-1]).read_text()
+    assert "# Brief: Found, T" in text and "- Python" in text and "developer student" in text
+    assert cli.main(["https://short"], desk) == 0
+    assert [r["url"] for r in desk.snapshots.read().orderBy("row_idx").collect()] == ["https://ok", "https://short"]
+
+
+def test_scratch_needs_a_shared_folder(spark, monkeypatch):
+    from listforge.operators import dedup
+
+    class Other:
+        master = "spark://host:7077"
+
+        def getConf(self):
+            return {}
+
+    since = dedup.mark()
+    assert dedup.written(spark.range(3), "t").count() == 3 and dedup.clear(spark, since) == 1 and dedup.mark() == since
+
+    class Session:
+        sparkContext = Other()
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+
+    class Frame:
+        sparkSession = Session()
+
+    try:
+        dedup.written(Frame(), "t")
+        raise AssertionError("a machine's own folder was taken")
+    except RuntimeError as e:
+        assert "spark.checkpoint.dir" in str(e)
