@@ -17,7 +17,7 @@ ENGLISH = (" the ", " and ", " you ", " we ", " with ", " for ", "experience", "
 
 def stripped(c: Column) -> Column:
     """Without white space at both ends; trim() would leave tabs and line feeds."""
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def blank(c: Column) -> Column:
@@ -99,7 +99,8 @@ def html_to_text(html: Column) -> Column:
 
 def occurrences(text: Column, needle: str) -> Column:
     """How often a needle is in the text, without overlap."""
-    return F.floor((F.length(text) - F.length(F.replace(text, F.lit(needle), F.lit("")))) / len(needle)).cast("int")
+    # Bytes are known without reading the text; characters aren't.
+    return ((F.octet_length(text) - F.octet_length(F.replace(text, F.lit(needle), F.lit("")))) / len(needle.encode())).cast("int")
 
 
 def danish_marks(text: Column) -> Column:
@@ -109,15 +110,12 @@ def danish_marks(text: Column) -> Column:
     return F.transform(F.array(s), lambda x: F.struct(total(x, DANISH + DANISH_LETTERS).alias("da"), total(x, ENGLISH).alias("en")))
 
 
-def danish_counts(text: Column) -> tuple[Column, Column]:
-    """(marks of Danish, marks of English) in a text."""
-    marks = F.get(danish_marks(text), F.lit(0))
-    return marks["da"], marks["en"]
+def looks_danish(text: Column, detected: Column | None = None, marks: Column | None = None) -> Column:
+    """Main language Danish: what a detector says (da, or en, no, sv), else by marks. Under 40 characters: false.
 
-
-def looks_danish(text: Column, detected: Column | None = None) -> Column:
-    """Main language Danish: what a detector says (da, or en, no, sv), else by marks. Under 40 characters: false."""
-    by_marks = F.exists(danish_marks(text), lambda m: (m["da"] > 0) & (m["en"] < F.greatest(F.lit(3.0), m["da"] * 0.3)))
+    marks: danish_marks of the text, where a query has them already.
+    """
+    by_marks = F.exists(danish_marks(text) if marks is None else marks, lambda m: (m["da"] > 0) & (m["en"] < F.greatest(F.lit(3.0), m["da"] * 0.3)))
     if detected is not None:
         by_marks = F.when(detected == "da", True).when(detected.isin("en", "no", "sv"), False).otherwise(by_marks)
     return F.when(F.length(stripped(blank(text))) < 40, False).otherwise(by_marks)

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from decimal import Decimal
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,12 +60,18 @@ def first_per(df: DataFrame, *keys: str, order: str | tuple = "row_idx") -> Data
 def best_per_url(df: DataFrame, url: str = "cu", score: str = "score_n", order: str = "row_idx") -> DataFrame:
     """The best row of each URL, the first of equals, with first_idx, where the URL appeared first. Empty URLs go.
 
-    Before rows are exchanged, each partition keeps one row of a URL (the window's group limit) and one smallest place (a
-    partial hash aggregate), so that a URL of any number of rows doesn't gather in one task. Both sides are dealt by URL.
+    Score and order (which tells rows apart) are packed into one number, so that one hash aggregate with partial sums finds
+    the best row of each URL, however many rows it has; the rows themselves are then joined by their order alone, and the
+    URL, which may be dear to compute, comes from the aggregate.
     """
-    rows = df.where(F.col(url) != "")
-    best = first_per(rows, url, order=(F.desc(score), F.col(order)))
-    return best.join(rows.groupBy(url).agg(F.min(order).alias("first_idx")), url).select(*df.columns, "first_idx")
+    # Orders are moved above zero; a score weighs more than any of them.
+    unit = F.lit(Decimal(10**20))
+    place = F.col(order).cast("decimal(20,0)") + F.lit(Decimal(1 << 63))
+    packed = F.coalesce(F.col(score), F.lit(-(1 << 31))).cast("decimal(11,0)") * unit - place
+    found = df.where(F.col(url) != "").groupBy(F.col(url).alias("_url")).agg(F.max(packed).alias("_best"), F.min(order).alias("first_idx"))
+    best = found.select("_url", (F.pmod(-F.col("_best"), unit) - F.lit(Decimal(1 << 63))).cast("long").alias("_order"), "first_idx")
+    rows = df.join(best, F.col(order).cast("long") == F.col("_order"))
+    return rows.select(*[F.col("_url").alias(c) if c == url else F.col(c) for c in df.columns], "first_idx")
 
 
 def greedy_two_keys(df: DataFrame, url: str = "cu", role: str = "rk", order: str = "row_idx") -> DataFrame:

@@ -169,8 +169,8 @@ def _hits(terms) -> str:
 def danish_marker_score(spark, d):
     """E8 E9 F13, without a detector."""
     rows = A.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("t")).unionByName(values(spark, DANISH, "id long, t string"))
-    da, en = text.danish_counts(F.col("t"))
-    return rows.select("id", da.alias("da"), en.alias("en"), text.looks_danish(F.col("t")).alias("danish"))
+    marks = F.col("marks")
+    return rows.withColumn("marks", text.danish_marks(F.col("t"))).select("id", marks[0]["da"].alias("da"), marks[0]["en"].alias("en"), text.looks_danish(F.col("t"), marks=marks).alias("danish"))
 
 
 # --- markup and JSON ------------------------------------------------------------------------------------------------

@@ -92,3 +92,17 @@ def test_plans(spark):
     assert "Cartesian" not in p and "Python" not in p and "Window" not in p
     scan = plan(adapter.table(spark, d, "orders").where("o_orderkey > 5").select("o_orderkey"))
     assert "PushedFilters: [IsNotNull(o_orderkey), GreaterThan(o_orderkey,5)]" in scan and "ReadSchema: struct<o_orderkey:bigint>" in scan
+
+
+def test_best_rows_are_found_by_a_hash_aggregate(spark):
+    df = spark.createDataFrame([(-5, "u", 5), (1, "v", -9), (2, "u", None), (7, "u", 5)], "row_idx long, cu string, score_n int")
+    best = dedup.best_per_url(df)
+    assert sorted((r["cu"], r["row_idx"], r["first_idx"]) for r in best.collect()) == [("u", -5, -5), ("v", 1, 1)]
+    plan = best._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+def test_texts_are_lowered_once(spark, settings):
+    rows = spark.createDataFrame([("Data", "x")], "title string, snippet string")
+    plan = rows.where(filters.passes_keywords(F.col("title"), F.col("snippet"), settings))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lower(") <= 4
