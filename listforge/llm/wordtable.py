@@ -35,8 +35,10 @@ from pyspark.sql import functions as F
 from . import bpe
 from .common import arrow, materialize, small_batches, table
 
-GROUPS = pa.schema([("grp", pa.string()), ("bucket", pa.int32()), ("n", pa.int32()), ("data", pa.binary())])
-GROUPS_DDL = "grp string, bucket int, n int, data binary"
+GROUPS = pa.schema([("place", pa.int64()), ("grp", pa.string()), ("bucket", pa.int32()), ("n", pa.int32()), ("data", pa.binary())])
+GROUPS_DDL = "place long, grp string, bucket int, n int, data binary"
+#: Between the places of a partition's groups; those of different partitions are neighbours, which deals groups evenly.
+STRIDE = 7919
 
 
 def _pack(data: bytes) -> bytes:
@@ -73,7 +75,7 @@ def buckets_of(words: pa.Array, buckets: int) -> np.ndarray:
     return (found >> np.uint64(33)).astype(np.int64) % buckets
 
 
-def _rows(group: pa.RecordBatch, name: str, buckets: int, want_words: bool, whole: list[bytes]) -> list[tuple]:
+def _rows(group: pa.RecordBatch, place: int, buckets: int, want_words: bool, whole: list[bytes]) -> list[tuple]:
     """One row of a group's words for each bucket, or one of its documents (bucket -1)."""
     words, offsets, _ = bpe.split(group.column(1).fill_null(""), whole)
     coded = words.dictionary_encode()
@@ -83,13 +85,13 @@ def _rows(group: pa.RecordBatch, name: str, buckets: int, want_words: bool, whol
     places = np.empty(len(order), np.uint32)
     places[order] = np.arange(len(order))
     codes = places[coded.indices.to_numpy()]
-    name = f"{name}-{zlib.crc32(codes.tobytes(), zlib.crc32(b''.join(b.to_pybytes() for b in shares.buffers()[1:] if b))):08x}"
+    name = f"{place}-{zlib.crc32(codes.tobytes(), zlib.crc32(b''.join(b.to_pybytes() for b in shares.buffers()[1:] if b))):08x}"
     if want_words:
         held, cuts = [w.encode() for w in shares.to_pylist()], np.searchsorted(at[order], np.arange(buckets + 1)).tolist()
-        return [(name, k, high - low, _pack(_strings(held[low:high]))) for k, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)) if low < high]
+        return [(place, name, k, high - low, _pack(_strings(held[low:high]))) for k, (low, high) in enumerate(zip(cuts, cuts[1:], strict=False)) if low < high]
     planes = np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T).tobytes()
     ids = pa.RecordBatch.from_arrays([group.column(0)], ["doc_id"])
-    return [(name, -1, len(order), _pack(_strings([ids.serialize().to_pybytes(), np.diff(offsets).astype("<u4").tobytes(), planes])))]
+    return [(place, name, -1, len(order), _pack(_strings([ids.serialize().to_pybytes(), np.diff(offsets).astype("<u4").tobytes(), planes])))]
 
 
 def _grouped(path: str, buckets: int, want_words: bool):
@@ -100,7 +102,7 @@ def _grouped(path: str, buckets: int, want_words: bool):
 
         partition, whole = TaskContext.get().partitionId(), bpe.encoder(path).whole
         for number, group in enumerate(bpe.grouped(batches)):
-            yield arrow(_rows(group, f"{partition}-{number}", buckets, want_words, whole), GROUPS)
+            yield arrow(_rows(group, partition + STRIDE * number, buckets, want_words, whole), GROUPS)
 
     return run
 
@@ -109,8 +111,8 @@ def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = bpe.encoder(path)
         for batch in batches:
-            for grp, bucket, n, data in zip(*(batch.column(c).to_pylist() for c in GROUPS.names), strict=True):
-                yield arrow([(grp, bucket, n, _pack(_strings(encoder.known([w.decode() for w in _split(_unpack(data))]))))], GROUPS)
+            for place, grp, bucket, n, data in zip(*(batch.column(c).to_pylist() for c in GROUPS.names), strict=True):
+                yield arrow([(place, grp, bucket, n, _pack(_strings(encoder.known([w.decode() for w in _split(_unpack(data))]))))], GROUPS)
 
     return run
 
@@ -123,13 +125,11 @@ Maker = Callable[[list[bytes]], Callable[[list[int]], tuple]]
 
 
 def _joined(schema: pa.Schema, make: Maker):
-    """A group's rows back to documents: one output row for each."""
+    """Rows sorted by group back to documents: one output row for each. One group is held at a time."""
 
-    def run(key, group):
-        numbers = dict(zip(group.column("bucket").to_pylist(), group.column("n").to_pylist(), strict=True))
+    def documents(numbers: dict[int, int], parts: dict[int, bytes]) -> pa.RecordBatch:
         if numbers.pop(-1, None) != sum(numbers.values()):
             raise ValueError("words and documents of a group don't belong together")
-        parts = dict(zip(group.column("bucket").to_pylist(), group.column("data").to_pylist(), strict=True))
         head, counts, planes = _split(_unpack(parts.pop(-1)))
         doc_ids = pa.ipc.read_record_batch(pa.py_buffer(head), pa.schema([("doc_id", pa.int64())])).column(0).to_pylist()
         place = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view("<u4").ravel()
@@ -138,7 +138,18 @@ def _joined(schema: pa.Schema, make: Maker):
         for doc_id, n in zip(doc_ids, np.frombuffer(counts, "<u4").tolist(), strict=True):
             rows.append((doc_id, *row(place[at : at + n].tolist())))
             at += n
-        return pa.Table.from_batches([arrow(rows, schema)], schema=schema)
+        return arrow(rows, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, numbers, parts = None, {}, {}
+        for batch in batches:
+            for grp, bucket, n, data in zip(*(batch.column(c).to_pylist() for c in GROUPS.names[1:]), strict=True):
+                if grp != name and name is not None:
+                    yield documents(numbers, parts)
+                    numbers, parts = {}, {}
+                name, numbers[bucket], parts[bucket] = grp, n, data
+        if name is not None:
+            yield documents(numbers, parts)
 
     return run
 
@@ -150,7 +161,9 @@ def _through(docs: DataFrame, path: str, schema: pa.Schema, ddl: str, make: Make
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     words = docs.mapInArrow(_grouped(path, buckets, True), GROUPS_DDL).repartitionById(buckets, F.col("bucket"))
     coded = words.mapInArrow(_encoded(path), GROUPS_DDL)
-    return docs.mapInArrow(_grouped(path, buckets, False), GROUPS_DDL).unionByName(coded).groupBy("grp").applyInArrow(_joined(schema, make), ddl)
+    both = docs.mapInArrow(_grouped(path, buckets, False), GROUPS_DDL).unionByName(coded)
+    dealt = both.repartitionById(buckets, F.pmod("place", F.lit(buckets)).cast("int")).sortWithinPartitions("place", "grp")
+    return dealt.mapInArrow(_joined(schema, make), ddl)
 
 
 def _ids(words: list[bytes]):
