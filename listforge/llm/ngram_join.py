@@ -303,7 +303,7 @@ def forest_of(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows = rows.withColumn("node", prefix(depth))
         sizes = rows.groupBy("tree", "node").agg(F.count("*").alias("size")).where("size > 1")
         # Both sides grow with the input, so that this join sorts and merges; a crowded node is divided as a skewed key.
-        sized = materialize(rows.hint("merge").join(sizes, ["tree", "node"]), "nodes", True)
+        sized = materialize(rows.hint("merge").join(sizes, ["tree", "node"]), "nodes", depth > LEAST)
         done = sized if depth == longest() else sized.where(F.col("size") <= SMALL)
         done = done.select("tree", "node", "rep", "size", F.lit(depth).alias("depth"))
         out = done if out is None else out.unionByName(done)
