@@ -3,13 +3,15 @@
 A configuration says how many pieces of each length share a sequence. The program covers the histogram with the fewest
 sequences; it has far too many configurations to list, so multiplicative weights price the lengths and a knapsack
 dynamic program finds the configuration worth most at these prices, round after round, until every length's demand is
-met. Rounding takes whole numbers of each configuration and closes with best-fit configurations of the remainder, each as
-often as it fits. The program sees at most 1,024 counts, whatever the number of documents; pieces then find their
+met. Rounding takes whole numbers of configurations and closes with best-fit configurations of the remainder, each as often
+as it fits. The program sees at most 1,024 counts, whatever the number of documents; pieces then find their
 sequence by their length and their rank among pieces of that length, which is counted in lanes so that a frequent
 length stays divided.
 
 Defined results: a null text counts as empty and is one piece with the end id alone; repeated rows are packed each on
-their own (ranks among fully equal rows are any); an empty table gives an empty result.
+their own (ranks among fully equal rows are any), and so are rows of one id, whatever their texts; a text of any length is
+cut into as many pieces as it takes; an empty table gives an empty result; other columns of documents, whatever their
+names, don't pass through, while `pack` carries those of pieces along.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ CAPACITY = 1024
 #: short piece: short ones are kept to fill what long ones leave.
 ETA, LONG = 0.05, 1.0
 LANES = 32
+#: Tokens that configurations may leave free when not all of the program's are kept.
+WASTE = (16, 4, 1)
 
 PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 PIECES_DDL = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -125,19 +129,21 @@ def best_fit(left: np.ndarray, capacity: int) -> Configuration:
     return tuple(sorted(counts.items(), reverse=True))
 
 
-def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Configuration, int]]:
-    """Configurations and how often each is used; together they hold exactly the histogram."""
-    left = np.zeros(capacity + 1, np.int64)
-    for n, k in histogram.items():
-        left[n] = k
-    out = [(((capacity, 1),), int(left[capacity]))] if left[capacity] else []
-    left[capacity] = 0
-    for config, x in sorted(fractional(left, capacity), key=lambda cx: -cx[1]):
+def rounded(parts: list[tuple[Configuration, float]], left: np.ndarray, capacity: int, waste: int) -> tuple[list[tuple[Configuration, int]], np.ndarray]:
+    """Whole numbers of those configurations that leave at most `waste` tokens free, and what they don't hold."""
+    out, left = [], left.copy()
+    for config, x in sorted(parts, key=lambda cx: -cx[1]):
         times = min(int(x + 1e-6), *(int(left[n]) // k for n, k in config))
-        if times:
+        if times and capacity - sum(n * k for n, k in config) <= waste:
             out.append((config, times))
             for n, k in config:
                 left[n] -= k * times
+    return out, left
+
+
+def closed(left: np.ndarray, capacity: int) -> list[tuple[Configuration, int]]:
+    """Best-fit configurations that hold the rest, each as often as it fits."""
+    out, left = [], left.copy()
     while left.any():
         config = best_fit(left, capacity)
         times = min(int(left[n]) // k for n, k in config)
@@ -147,6 +153,25 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Con
     return out
 
 
+def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Configuration, int]]:
+    """Configurations and how often each is used; together they hold exactly the histogram.
+
+    Rounding is tried with all configurations of the program and with those that leave little free, whose pieces the rest
+    would miss; the fewest sequences win, among equals the largest part that the program places.
+    """
+    left = np.zeros(capacity + 1, np.int64)
+    for n, k in histogram.items():
+        left[n] = k
+    out = [(((capacity, 1),), int(left[capacity]))] if left[capacity] else []
+    left[capacity] = 0
+    parts = fractional(left, capacity)
+    found = []
+    for waste in (capacity, *WASTE):
+        whole, rest = rounded(parts, left, capacity, waste)
+        found.append(whole + closed(rest, capacity))
+    return out + min(found, key=lambda f: sum(times for _, times in f))
+
+
 def ranked(pieces: DataFrame) -> DataFrame:
     """pieces with `rank`: gapless from 0 among those of a length."""
     lane = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(LANES)).cast("int")
