@@ -1,6 +1,11 @@
 """Corpus pipeline: stages over documents, each written as Parquet and read again by the next.
 
 Every function takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+
+Defined results of every stage: null texts count as empty (quality rules reject empty texts; the secrets' stage leaves a
+null text null); texts of any length are read whole; of equal rows the first three stages judge each on its own, but near
+duplicates keep one; rows with a null id are judged by their text and never near duplicates of one another; among ties the
+smallest id stays; an empty table stays empty; further columns pass through under any name, except through packing.
 """
 
 from __future__ import annotations
@@ -28,8 +33,9 @@ def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets in texts are masked; n_chars follows the text."""
-    return secrets.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
+    """Secrets in texts are masked; n_chars, where documents have it, follows the text."""
+    masked = secrets.redact(docs)
+    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else masked
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
