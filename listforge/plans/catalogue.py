@@ -152,10 +152,18 @@ MONTH_CASE = "CASE lower(m) " + " ".join(f"WHEN '{m}' THEN {i}" for i, m in enum
 PATTERN = "(?i)(?:ans[øo]gningsfrist|frist|deadline)[:\\s]*([0-9]{1,2})[.\\s/-]\\s*([0-9]{1,2}|[0-9a-zæøå_]+)[.\\s/-]\\s*([0-9]{2,4})"
 
 
-@query(f"SELECT id, coalesce(try_cast(printf('%04d-%02d-%02d', CASE WHEN y < 100 THEN y + 2000 ELSE y END, mon, day) AS date) < {A.TODAY}, false) AS passed FROM (SELECT id, try_cast(d AS int) AS day, {MONTH_CASE} AS mon, try_cast(y AS int) AS y FROM (SELECT id, regexp_extract(t, '{PATTERN}', 1) AS d, regexp_extract(t, '{PATTERN}', 2) AS m, regexp_extract(t, '{PATTERN}', 3) AS y FROM {sql_values(DEADLINES, 'id, t')}))")
+@query(
+    f"SELECT id, coalesce(try_cast(printf('%04d-%02d-%02d', CASE WHEN y < 100 THEN y + 2000 ELSE y END, mon, day) AS date) < {A.TODAY}, false) AS passed FROM (SELECT id, try_cast(d AS int) AS day, {MONTH_CASE} AS mon, try_cast(y AS int) AS y FROM (SELECT id, regexp_extract(t, '{PATTERN}', 1) AS d, regexp_extract(t, '{PATTERN}', 2) AS m, regexp_extract(t, '{PATTERN}', 3) AS y FROM {sql_values(DEADLINES, 'id, t')}))"
+    + " UNION ALL SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN cast(o_orderdate AS date) < DATE '1998-06-15' ELSE false END FROM orders"
+)
 def deadline_text_gate(spark, d):
-    """E7 F12."""
-    return values(spark, DEADLINES, "id int, t string").select("id", dates.deadline_passed(F.col("t"), S.today).alias("passed"))
+    """Odd texts, and orders whose dates are written out, written with two digits for the year, or not at all."""
+    day, key = F.col("o_orderdate").cast("date"), F.col("o_orderkey")
+    month = F.element_at(F.array(*[F.lit(m) for m in dates.MONTHS]), F.month(day))
+    long = F.concat(F.lit("Søg nu. Ansøgningsfrist: "), F.dayofmonth(day), F.lit(". "), month, F.lit(" "), F.year(day))
+    short = F.concat(F.lit("deadline "), F.dayofmonth(day), F.lit("/"), F.month(day), F.lit("-"), F.date_format(day, "yy"))
+    orders = A.table(spark, d, "orders").select(key.alias("id"), F.when(key % 3 == 0, long).when(key % 3 == 1, short).otherwise("no date").alias("t"))
+    return values(spark, DEADLINES, "id long, t string").unionByName(orders).select("id", dates.deadline_passed(F.col("t"), S.today).alias("passed"))
 
 
 DANISH = [(-1, "Vi søger en medarbejder med erfaring og lyst til arbejde som udvikler"), (-2, "og og er"), (-3, "we are looking for you and the team with experience to apply og er til")]
@@ -212,11 +220,17 @@ def json_score_extract(spark, d):
 ANSWERS = [(1, '{"docs":[{"id":"a"},{"id":"b"}]}'), (2, '[{"id":"c"}]'), (3, '{"jobs":{"docs":[{"id":"d"}]},"featuredJobs":{"docs":[{"id":"e"}]},"docs":[{"id":"x"}]}'), (4, '{"hits":3,"results":[{"id":"f"}]}'), (5, '{"docs":[]}'), (6, "3")]
 
 
-@query("SELECT * FROM (VALUES (1, 0, 'a'), (1, 1, 'b'), (2, 0, 'c'), (3, 0, 'd'), (3, 1, 'e'), (4, 0, 'f')) v(id, pos, job)")
+@query("SELECT * FROM (VALUES (-1, 0, 'a'), (-1, 1, 'b'), (-2, 0, 'c'), (-3, 0, 'd'), (-3, 1, 'e'), (-4, 0, 'f')) v(id, pos, job) UNION ALL SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1, cast(o_orderkey AS string) FROM orders WHERE o_custkey % 5 <> 4")
 def json_list_explode(spark, d):
-    """S4."""
-    rows = values(spark, ANSWERS, "id int, raw string").select("id", F.posexplode(jsonx.listed(F.col("raw"))).alias("pos", "job"))
-    return rows.select("id", "pos", F.get_json_object("job", "$.id").alias("job"))
+    """Odd answers, and the orders of each customer in lists of all shapes."""
+    key = F.col("o_custkey")
+    each = A.table(spark, d, "orders").groupBy(key).agg(F.sort_array(F.collect_list("o_orderkey")).alias("ks"))
+    docs = F.concat(F.lit("["), F.array_join(F.transform("ks", lambda k: F.concat(F.lit('{"id":"'), k, F.lit('"}'))), ","), F.lit("]"))
+    shape = F.when(key % 5 == 0, docs).when(key % 5 == 1, F.concat(F.lit('{"docs":'), docs, F.lit("}"))).when(key % 5 == 2, F.concat(F.lit('{"jobs":{"docs":[]},"featuredJobs":{"docs":'), docs, F.lit("}}")))
+    shape = shape.when(key % 5 == 3, F.concat(F.lit('{"n":1,"items":'), docs, F.lit("}"))).otherwise(F.concat(F.lit('{"others":'), docs, F.lit("}")))
+    rows = values(spark, [(-i, raw) for i, raw in ANSWERS], "id long, raw string").unionByName(each.select(key.cast("long").alias("id"), shape.alias("raw")))
+    out = rows.select("id", F.posexplode(jsonx.listed(F.col("raw"))).alias("pos", "job"))
+    return out.select("id", "pos", F.get_json_object("job", "$.id").alias("job"))
 
 
 JOBS = [(1, '{"id":"7","title":"Dev","company":{"name":"Co"},"location":{"locality":"Aarhus"},"description":"<p>short</p>"}'), (2, '{"headline":" X ","employer":"E","city":["A","","B"],"link":{"href":"https://u/1"},"createdAt":"2026-01-05T10:00"}'), (3, '{"title":"","name":"N","uuid":"9","company":{},"description":"' + "y" * 201 + '"}'), (4, '{"company":"none"}')]
@@ -230,13 +244,12 @@ def json_teaser_map(spark, d):
     return out.where("title <> '' and url <> ''").select("id", "title", "company", "location", "published_date", "snippet", "url", "source")
 
 
-RAW = [(1, '{"score": 5}'), (2, "junk"), (3, ""), (4, '{"score": "x"}')]
-
-
-@query("SELECT 1 AS id, 5 AS score, CAST(3 AS BIGINT) AS n_errors")
+@query("SELECT o_orderkey AS id, cast(o_orderkey % 101 AS int) AS score, (SELECT count(*) FROM orders WHERE o_orderkey % 4 <> 0) AS n_errors FROM orders WHERE o_orderkey % 4 = 0")
 def error_rows_dropped(spark, d):
-    """Failed scorings take the sentinel, are counted, and aren't stored."""
-    rows = values(spark, RAW, "id int, raw string").select("id", F.coalesce(jsonx.parse_score(F.col("raw")), jsonx.scoring_error()).alias("s")).select("id", "s.*")
+    """Failed scorings take the sentinel, are counted, and aren't stored."""
+    key = F.col("o_orderkey")
+    raw = F.when(key % 4 == 0, F.concat(F.lit('Here it is: {"score": '), key % 101, F.lit("}"))).when(key % 4 == 1, "junk").when(key % 4 == 2, "").otherwise('{"score": "x"}')
+    rows = A.table(spark, d, "orders").select(key.alias("id"), F.coalesce(jsonx.parse_score(raw), jsonx.scoring_error()).alias("s")).select("id", "s.*")
     errors = rows.agg(F.count_if(F.col("reasoning") == jsonx.ERROR).alias("n_errors"))
     return filters.without_errors(rows).select("id", "score").crossJoin(F.broadcast(errors))
 
@@ -456,10 +469,12 @@ def slugs(spark, d):
 LISTS = [(1, "a; b ;; c"), (2, ""), (3, None)]
 
 
-@query("SELECT * FROM (VALUES (1, '- a' || chr(10) || '- b' || chr(10) || '- c'), (2, '_(none extracted)_'), (3, '_(none extracted)_')) v(id, list)")
+@query("SELECT c_custkey AS id, CASE WHEN c_custkey % 7 = 0 THEN '_(none extracted)_' ELSE '- ' || c_name || chr(10) || '- ' || c_mktsegment END AS list FROM customer UNION ALL SELECT * FROM (VALUES (-1, '- a' || chr(10) || '- b' || chr(10) || '- c'), (-2, '_(none extracted)_'), (-3, '_(none extracted)_')) v(id, list)")
 def bullet_lists(spark, d):
     """E15 E23."""
-    return values(spark, LISTS, "id int, s string").select("id", text.bullets(text.skills(F.col("s"))).alias("list"))
+    joined = F.when(F.col("c_custkey") % 7 == 0, " ; ;").otherwise(F.concat("c_name", F.lit(" ;; "), "c_mktsegment", F.lit("; ")))
+    rows = A.table(spark, d, "customer").select(F.col("c_custkey").alias("id"), joined.alias("s")).unionByName(values(spark, [(-i, t) for i, t in LISTS], "id long, s string"))
+    return rows.select("id", text.bullets(text.skills(F.col("s"))).alias("list"))
 
 
 DUE = "CASE WHEN days_left IS NULL THEN NULL WHEN days_left <= 0 THEN '⏰ closes today (' || deadline || ')' WHEN days_left <= 7 THEN '⏰ closes in ' || cast(days_left AS string) || 'd (' || deadline || ')' ELSE 'deadline ' || deadline || ' (' || cast(days_left AS string) || 'd)' END"
