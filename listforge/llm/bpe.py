@@ -20,6 +20,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import keeps, works_on
+
 #: Entries of a worker's table of words, in two generations: when the younger is full, the older goes.
 WORDS_AT_MOST = 400_000
 #: Texts are taken together until they have so many bytes, and words that are new until they have so many characters.
@@ -247,9 +249,14 @@ def grouped(batches: Iterator[pa.RecordBatch], text: int = 1, size: int = GROUP_
 
 
 @cache
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
 def encoder(path: str) -> Encoder:
     """One a process."""
-    return Encoder(path)
+    works_on("bpe")
+    return _encoder(path)
 
 
 @cache
@@ -265,3 +272,11 @@ def pieces(path: str) -> list[bytes]:
         piece = t.id_to_token(i)
         out.append(special[i].encode() if i in special else bytes(byte_of[c] for c in piece))
     return out
+
+
+def _let_go() -> None:
+    for kept in (_encoder, tokenizer, pieces):
+        kept.cache_clear()
+
+
+keeps("bpe", _let_go)

@@ -6,6 +6,7 @@ import atexit
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +87,21 @@ def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
         spark.conf.set(key, str(rows))
 
 
+#: What worker processes keep between tasks, by operator: how to let it go.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(name: str, let_go: Callable[[], None]) -> None:
+    _KEPT[name] = let_go
+
+
+def works_on(name: str) -> None:
+    """Let go of what this worker process, which stages share, keeps for other operators."""
+    for other, let_go in _KEPT.items():
+        if other != name:
+            let_go()
+
+
 def without(df: DataFrame, *names: str) -> DataFrame:
     """Drop columns whose names the operator is about to add (Spark compares names without case)."""
     taken = {n.lower() for n in names}

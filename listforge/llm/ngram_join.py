@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, materialize, small_batches, table
+from .common import arrow, materialize, small_batches, table, works_on
 
 WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH, LEAST, RECALL = 15, 4, 3, 0.999
@@ -100,6 +100,7 @@ SIGNED = pa.schema([("doc_id", pa.int64()), ("hash", pa.int64()), ("key", pa.bin
 
 
 def _sign(batches):
+    works_on("join")
     shingler = Shingler()
     for batch in batches:
         rows = []

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .automaton import Scanner
-from .common import small_batches, table, without
+from .common import small_batches, table, without, works_on
 
 #: name, expression, letters in either case, characters of a match at least. Runs are taken whole and measured after
 #: that: a short match hides what lies inside it, and the automaton needs no counters.
@@ -135,6 +135,7 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
 
     @F.pandas_udf("string")
     def clean(texts):
+        works_on("secrets")
         return texts.map(masked, na_action="ignore")
 
     return docs.withColumn(text, clean(F.col(text)))

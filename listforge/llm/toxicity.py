@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow, materialize, small_batches, table
+from .common import arrow, keeps, materialize, small_batches, table, works_on
 from .deobfuscate import SIZE, Model, trigrams
 
 SAMPLE, FEATURES, BEGINNING, SEEN = 20_000, 4096, 4, 3
@@ -141,10 +141,12 @@ def scorer(docs: DataFrame, labels: DataFrame):
 
 
 _MODELS: dict = {}
+keeps("toxicity", _MODELS.clear)
 
 
 def _model(counts) -> Model:
     """The model of these counts; a process holds one at a time."""
+    works_on("toxicity")
     name, found = counts.value
     if name not in _MODELS:
         _MODELS.clear()

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .common import arrow, materialize, small_batches, table
+from .common import arrow, keeps, materialize, small_batches, table
 
 GROUPS = pa.schema([("place", pa.int64()), ("grp", pa.string()), ("bucket", pa.int32()), ("n", pa.int32()), ("data", pa.binary())])
 GROUPS_DDL = "place long, grp string, bucket int, n int, data binary"
@@ -216,6 +216,7 @@ def _digest(path: str) -> Maker:
 
 
 _VOCABULARY: dict[str, tuple[list[bytes], list[bytes]]] = {}
+keeps("vocabulary", _VOCABULARY.clear)
 
 
 def _vocabulary(path: str) -> tuple[list[bytes], list[bytes]]:
