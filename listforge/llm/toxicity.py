@@ -26,7 +26,9 @@ from pyspark.sql import functions as F
 from .common import arrow, keeps, materialize, small_batches, table, works_on
 from .deobfuscate import SIZE, Model, trigrams
 
-SAMPLE, FEATURES, BEGINNING, SEEN = 20_000, 4096, 4, 3
+SAMPLE, FEATURES, SEEN = 20_000, 2048, 3
+#: Lengths of the beginnings of words that are features beside them.
+BEGINNINGS = (4, 6)
 _WORD = re.compile(r"[^\W\d_]+")
 
 GRAMS = pa.schema([("gram", pa.int32()), ("n", pa.int64())])
@@ -65,7 +67,7 @@ def features(text: str | None, model: Model) -> set[str]:
     words = set(_WORD.findall((text or "").lower()))
     for reading in model.readings(text or ""):
         words.update(reading.split())
-    return words | {w[:BEGINNING] + "." for w in words if len(w) >= BEGINNING}
+    return words.union(*({f"{w[:n]}." for w in words if len(w) >= n} for n in BEGINNINGS))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -109,7 +111,7 @@ def learn(docs: DataFrame, labels: DataFrame, counts) -> tuple[dict[str, float],
     return {w: float(x) for w, x in zip(chosen, weights, strict=True)}, float(bias)
 
 
-def logistic(rows: list[list[int]], y: np.ndarray, n: int, steps: int = 400, rate: float = 0.3, penalty: float = 1e-4) -> tuple[np.ndarray, float]:
+def logistic(rows: list[list[int]], y: np.ndarray, n: int, steps: int = 400, rate: float = 0.3, penalty: float = 3e-4) -> tuple[np.ndarray, float]:
     """Logistic regression on present features: full-batch Adam steps with an L2 penalty."""
     at = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     which = np.array([i for r in rows for i in r], np.int64)
