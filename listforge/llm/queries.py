@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from .counts import op8
+from .decontaminate import OP11_SQL, op11
 from .media import op1
+from .merkle import OP12_SQL, op12
 from .ngram_join import op10
 from .packing import op5
 from .quality import op3
@@ -11,6 +13,7 @@ from .records import op6
 from .secrets import op7
 from .sharding import op9
 from .toxicity import op4
+from .whitening import op13
 from .wordtable import op2
 
 QUERIES = {
@@ -24,7 +27,10 @@ QUERIES = {
     "op8_edit_token_counts": op8,
     "op10_ngram_lsh_forest": op10,
     "op9_histogram_sort_shards": op9,
+    "op11_benchmark_decontamination": op11,
+    "op12_merkle_manifest": op12,
+    "op13_embedding_whitening": op13,
 }
 
 #: DuckDB SQL for those queries that SQL can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op11_benchmark_decontamination": OP11_SQL, "op12_merkle_manifest": OP12_SQL}
