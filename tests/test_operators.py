@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from listforge.operators import dedup, filters, lookups, views
@@ -26,6 +27,57 @@ def test_greedy_two_keys(spark):
         assert sorted(r[0] for r in got) == greedy(rows)
 
 
+def chain(n):
+    """Row i shares its URL with one neighbour and its role with the other: each waits for the one before."""
+    return [(i, f"u{(i + 1) // 2}", f"r{i // 2}") for i in range(n)]
+
+
+@pytest.mark.parametrize(("shape", "reader_rows", "first_rounds"), [("mixed", 40, 1), ("chain", 50, 0), ("chain", 50, 1), ("star", 60, 0), ("no roles", 60, 1)])
+def test_greedy_two_keys_divided(spark, shape, reader_rows, first_rounds):
+    """Components, and stretches of large ones, give what one reader gives."""
+    rng = random.Random(len(shape) + reader_rows)
+    if shape == "mixed":
+        rows = [(i, f"u{rng.randrange(90)}", rng.choice(["", None, *(f"r{k}" for k in range(90))])) for i in range(200)]
+    elif shape == "chain":
+        rows = chain(120)
+        ids = rng.sample(range(1000), 120) if first_rounds else list(range(120))
+        rows = sorted((j, u, r) for j, (_, u, r) in zip(ids, rows, strict=True))
+    else:
+        rows = [(i, "hub" if i % 3 else f"u{i}", f"r{i % 11}" if shape == "star" else "") for i in range(150)]
+    df = spark.createDataFrame(rows, "row_idx long, cu string, rk string")
+    got = dedup.greedy_two_keys(df, reader_rows=reader_rows, first_rounds=first_rounds).select("row_idx").collect()
+    assert sorted(r[0] for r in got) == greedy(rows)
+
+
+def test_a_long_chain_takes_few_jobs(spark):
+    """10,000 rows, each of which waits for the one before; what jobs there are counts Spark's own for each exchange."""
+    df = spark.createDataFrame(chain(10_000), "row_idx long, cu string, rk string")
+    sc = spark.sparkContext
+    sc.setJobGroup("chain", "chain")
+    got = sorted(r[0] for r in dedup.greedy_two_keys(df).select("row_idx").collect())
+    jobs = len(sc.statusTracker().getJobIdsForGroup("chain"))
+    sc.setJobGroup("other", "other")
+    assert got == greedy(chain(10_000)) and jobs <= 20
+
+
+def test_components(spark):
+    rng = random.Random(5)
+    rows = [(i, f"u{rng.randrange(150)}", rng.choice(["", *(f"r{k}" for k in range(150))]) or None) for i in range(200)] + [(1000 + i, f"a{u}", f"a{r}") for i, u, r in chain(300)]
+    first = {i: i for i, _, _ in rows}
+    for _ in rows:
+        by = {}
+        for i, u, r in rows:
+            for k in (("u", u), ("r", r)):
+                if k[1] is not None:
+                    by[k] = min(by.get(k, i), first[i])
+        now = {i: min([by["u", u]] + ([by["r", r]] if r is not None else [])) for i, u, r in rows}
+        if now == first:
+            break
+        first = now
+    got = dedup.components(spark.createDataFrame(rows, "i long, u string, r string")).collect()
+    assert {r["i"]: r["c"] for r in got} == first
+
+
 def test_best_per_url(spark):
     rows = [(0, "u", 5), (1, "v", 9), (2, "u", 9), (3, "u", 9), (4, "", 9)]
     got = dedup.best_per_url(spark.createDataFrame(rows, "row_idx long, cu string, score_n int")).orderBy("first_idx").collect()
