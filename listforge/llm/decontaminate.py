@@ -141,7 +141,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, broadca
     stretches = stretches.select("digest", F.aggregate("s", nothing, put).alias("spans"))
     ids = found.select("digest", "window").distinct().join(windows.select("window", "item_id").where("item_id is not null").distinct(), "window")
     ids = ids.groupBy("digest").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
-    both = stretches.join(ids, "digest", "left")
+    # Written, so that the join below gets an exchange on both sides, of which Spark can divide that with a frequent text.
+    both = materialize(stretches.join(ids, "digest", "left"), "text-finds", small=True)
     out = base.join(both, "digest", "left")
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["stop"] - s["start"])
     return out.select("doc_id", "n_words", F.coalesce(hit, F.lit(0).cast("long")).alias("n_hit"), F.coalesce("spans", nothing).alias("spans"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"))
