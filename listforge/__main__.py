@@ -5,7 +5,9 @@
   prepare [--new | N | URL | --status URL STATUS | --report PATH]   what cli.py does
 
 Options: --base FOLDER (tables lie below it), --profile NAME with --profiles FOLDER, --owner, --today YYYY-MM-DD,
---board URL with --board-base URL, --api URL with --job-url URL, --no-fetch, --dump FOLDER (first pages, for a look).
+--board URL with --board-base URL, --api URL with --job-url URL, --no-fetch, --dump FOLDER (first pages, for a look);
+--scorer, --extractor and --detector: module.function, a factory of one client (see operators/external.py), or for the last
+two `rules`, what is shipped; --no-danish drops pages in Danish; --index keeps an index of the URLs that the archive has.
 """
 
 from __future__ import annotations
@@ -18,10 +20,10 @@ from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import analysis, cli, config
-from .operators import dedup, external, views
+from .operators import dedup, external, numbering, views
+from .operators.seen import Seen
 from .schema import ARCHIVE, RUNS, TEASER
 from .sources import api, cards, files, registry
 from .streaming import ingest
@@ -29,17 +31,13 @@ from .streaming import ingest
 
 def settings(o: argparse.Namespace) -> config.Settings:
     s = config.Settings(today=date.fromisoformat(o.today) if o.today else date.today(), base=o.base, board_url=o.board, board_base=o.board_base, api_url=o.api, api_job_url=o.job_url)
-    s = replace(s, fetch_bodies=not o.no_fetch)
+    s = replace(s, fetch_bodies=not o.no_fetch, drop_foreign_language=s.drop_foreign_language or o.no_danish)
     return config.with_profile(s, config.load_profile(o.profiles, o.profile), o.owner) if o.profile else s
 
 
 def numbered(rows: DataFrame) -> DataFrame:
-    """Teasers of all sources with row_idx: by source, then by query, page and place.
-
-    One task numbers them: a run reads some thousand teasers, bounded by queries and pages.
-    """
-    order = Window.orderBy("source_rank", "rank", "page", "pos", "card")
-    return rows.withColumn("row_idx", F.row_number().over(order).cast("long") - 1).select("row_idx", *TEASER)
+    """Teasers of all sources with row_idx: by source, then by query, page and place."""
+    return numbering.numbered(rows, "source_rank", "rank", "page", "pos", "card", name="row_idx", start=0).select("row_idx", *TEASER)
 
 
 def collected(spark: SparkSession, s: config.Settings, dump: str = "", **more: str) -> tuple[DataFrame | None, dict[str, str]]:
@@ -62,15 +60,18 @@ def collected(spark: SparkSession, s: config.Settings, dump: str = "", **more: s
 def main(argv: list[str], spark: SparkSession | None = None, **more: str) -> int:
     p = argparse.ArgumentParser(prog="listforge", description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     p.add_argument("verb", choices=("ingest", "analyse", "prepare"))
-    for name in ("base", "profile", "profiles", "today", "board", "board-base", "api", "job-url", "dump"):
+    for name in ("base", "profile", "profiles", "today", "board", "board-base", "api", "job-url", "dump", "scorer", "extractor", "detector"):
         p.add_argument(f"--{name}", default={"base": ".", "profiles": "profiles"}.get(name, ""))
     p.add_argument("--owner", action="store_true")
-    p.add_argument("--no-fetch", action="store_true")
+    for name in ("no-fetch", "no-danish", "index"):
+        p.add_argument(f"--{name}", action="store_true")
     o, rest = p.parse_known_args(argv)
     s = settings(o)
+    detector, extractor = external.client(o.detector, external.rule_detector), external.client(o.extractor, external.rule_extractor)
+    scorer = external.client(o.scorer, external.rule_scorer(s))
     spark = spark or SparkSession.builder.appName("listforge").getOrCreate()
     archive, runs = f"{s.base}/archive", f"{s.base}/runs"
-    desk = cli.Desk(spark, archive, f"{s.base}/tracker", s, f"{s.base}/briefs", None if o.no_fetch else external.web_fetcher)
+    desk = cli.Desk(spark, archive, f"{s.base}/tracker", s, f"{s.base}/briefs", None if o.no_fetch else external.web_fetcher, extractor)
     if o.verb == "prepare":
         return cli.main(rest, desk)
     if o.verb == "analyse":
@@ -83,7 +84,8 @@ def main(argv: list[str], spark: SparkSession | None = None, **more: str) -> int
         print(f"source {name} failed: {why}", file=sys.stderr)
     if teasers is None:
         return 1
-    counts = ingest.ingest(teasers, archive, s, None if o.no_fetch else external.web_fetcher)
+    index = Seen(spark, f"{s.base}/seen") if o.index else None
+    counts = ingest.ingest(teasers, archive, s, None if o.no_fetch else external.web_fetcher, scorer, detector, index)
     took = time.monotonic() - at
     ingest.log_run(spark, runs, f"{began:%Y-%m-%d %H:%M:%S}", {"duration_s": took, "scrape_s": read, "score_s": took - read}, counts)
     print(", ".join(f"{k} {v}" for k, v in counts.items()))

@@ -81,10 +81,13 @@ class Desk:
     def prepare(self, meta: dict, body: str, facts: dict | None = None, error: str | None = None) -> str:
         """Write a brief and, unless the URL is tracked, a tracker row; the brief's path."""
         facts = facts or {}
-        for k in ("title", "company", "location", "employment_type", "deadline"):
-            if not meta.get(k) or str(meta[k]).upper() == "N/A":
-                meta[k] = facts.get(k, meta.get(k) or "")
-        slug = self.spark.range(1).select(text.slug(F.lit(meta["company"])).alias("s")).first()["s"]
+        names = ("title", "company", "location", "employment_type", "deadline")
+        given = [str(x[k]) if x.get(k) is not None else None for x in (meta, facts) for k in names]
+        one = self.spark.createDataFrame([tuple(given)], ", ".join(f"{x}_{k} string" for x in ("m", "f") for k in names))
+        one = one.select(*[text.filled(F.col(f"m_{k}"), F.col(f"f_{k}")).alias(k) for k in names])
+        done = one.withColumn("slug", text.slug(F.col("company"))).first().asDict()
+        slug = done.pop("slug")
+        meta |= done
         path = files.unique_name(self.spark, self.briefs, f"{self.s.today}_{slug}")
         files.write_text(self.spark, path, brief(meta, facts, body, error, self.s))
         row = {"date_added": str(self.s.today), "status": "interested", "company": meta["company"], "role": meta["title"], "url": meta["url"], "next_followup": str(self.s.today + timedelta(days=7)), "brief_file": path.rsplit("/", 1)[-1], "notes": ""}

@@ -140,6 +140,11 @@ def bullets(items: Column, empty: str = "_(none extracted)_") -> Column:
     return F.when(F.size(kept) > 0, F.array_join(F.transform(kept, lambda x: F.concat(F.lit("- "), x)), "\n")).otherwise(F.lit(empty))
 
 
+def filled(c: Column, other: Column) -> Column:
+    """c, or where it is null, empty or N/A, the other; c itself (empty for null) where there is no other."""
+    return F.when(F.coalesce(c, F.lit("")).isin("") | (F.upper(c) == "N/A"), F.coalesce(other, c, F.lit(""))).otherwise(c)
+
+
 def bar(n: Column, most: Column, width: int = 34) -> Column:
     """Blocks in proportion, halves rounded to even; none if the most is not positive."""
     return F.when(most > 0, F.repeat(F.lit("█"), F.bround(width * n.cast("double") / most, 0).cast("int"))).otherwise(F.lit(""))

@@ -9,7 +9,7 @@ import uuid
 from decimal import Decimal
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -37,6 +37,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def counted(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, dict[str, int]]:
+    """written(df, name), and aggregates of its rows, gathered by the tasks that write them.
+
+    They hold under retries: the observation stands above all shuffles, and of a writing task only the attempt counts that
+    succeeds.
+    """
+    seen = Observation(name)
+    out = written(df.observe(seen, *[c.alias(k) for k, c in counts.items()]), name)
+    found = seen.get
+    return out, {k: found.get(k) or 0 for k in counts}
+
+
 def clear(spark: SparkSession, since: int = 0, but: int = 0) -> int:
     """Delete what this process wrote to the shared folder, from the table numbered `since` on, but for the last so many."""
     stop = len(_WRITTEN) - but

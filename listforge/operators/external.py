@@ -7,8 +7,10 @@ once before they branch. The clients shipped here work without a network: a rule
 from __future__ import annotations
 
 import html
+import importlib
 import re
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -39,14 +41,10 @@ def fetched(df: DataFrame, make: Callable[[], Fetcher], s: Settings) -> DataFram
     names = df.columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        get = make()
+        get = started(make)
         for pdf in batches:
-            out = []
-            for url in pdf["url"]:
-                try:
-                    out.append(page_text(get(url)))
-                except Exception as e:  # a page may fail in any way; the row says how
-                    out.append(("", str(e)[:ERROR_MOST]))
+            found = [attempt(lambda u: page_text(get(u)), url) for url in pdf["url"]]
+            out = [("", error) if error else page for page, error in found]
             yield pdf.assign(fetched=[x for x, _ in out], fetch_error=[e for _, e in out])[[*names, "fetched", "fetch_error"]]
 
     ddl = ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + ", fetched string, fetch_error string"
@@ -81,16 +79,14 @@ def scored(df: DataFrame, make: Callable[[], Scorer], s: Settings) -> DataFrame:
 
     @F.pandas_udf("string")
     def answers(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        ask = make()
+        ask = started(make)
 
         def one(title, company, location, body):
-            try:
-                return ask(title or "", company or "", location or "", (body or "")[:PROMPT_SCORE])
-            except Exception:  # the sentinel stands for any failure
-                return None
+            # The sentinel stands for any failure.
+            return attempt(ask, title or "", company or "", location or "", (body or "")[:PROMPT_SCORE])[0]
 
         for columns in batches:
-            yield pd.Series([one(*row) for row in zip(*columns, strict=True)])
+            yield pd.Series([one(*row) for row in zip(*columns, strict=True)], dtype=object)
 
     answers = answers.asNondeterministic()
     out = df.repartition(s.score_workers).withColumn("_raw", answers("title", "company", "location", "body"))
@@ -118,25 +114,105 @@ def rule_scorer(s: Settings) -> Callable[[], Scorer]:
 
 
 def extracted(df: DataFrame, make: Callable[[], Callable[[str, str], str]], body: str = "body") -> DataFrame:
-    """df with brief_json: a JSON object that a model drew from title and body, null where it gave none."""
+    """df with brief_json, a JSON object that a model drew from title and body, null where it gave none, and brief_error.
+
+    brief_error says what a call failed with; a row whose call fails loses its brief and nothing else.
+    """
     ship(df.sparkSession)
 
-    @F.pandas_udf("string")
-    def answers(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-        ask = make()
+    @F.pandas_udf("raw string, error string")
+    def answers(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        ask = started(make)
         for titles, bodies in batches:
-            yield pd.Series([ask(t or "", (b or "")[:PROMPT_BRIEF]) for t, b in zip(titles, bodies, strict=True)])
+            yield pd.DataFrame([attempt(ask, t or "", (b or "")[:PROMPT_BRIEF]) for t, b in zip(titles, bodies, strict=True)], columns=["raw", "error"])
+
+    out = df.withColumn("_a", answers.asNondeterministic()("title", body))
+    return out.withColumns({"brief_json": jsonx.valid_object(F.col("_a.raw")), "brief_error": F.col("_a.error")}).drop("_a")
+
+
+def started(make: Callable[[], Callable]) -> Callable:
+    """The client of a partition; one that can't be made fails each of its calls in the same way."""
+    try:
+        return make()
+    except Exception as e:  # a model may be away
+        return partial(_fails, str(e)[:ERROR_MOST])
+
+
+def _fails(why: str, *_) -> None:
+    raise RuntimeError(why)
+
 
-    return df.withColumn("_raw", answers.asNondeterministic()("title", body)).withColumn("brief_json", jsonx.valid_object(F.col("_raw"))).drop("_raw")
+def attempt(ask: Callable, *given: str) -> tuple[str | None, str | None]:
+    """(answer, None), or (None, what the call failed with)."""
+    try:
+        return ask(*given), None
+    except Exception as e:  # a model may fail in any way; the row says how
+        return None, str(e)[:ERROR_MOST] or type(e).__name__
+
+
+#: The code of a text whose detection failed. Gates treat it like a text whose language isn't known.
+UNDETECTED = "?"
 
 
 def detected(text_column: Column, make: Callable[[], Callable[[str], str | None]]):
-    """A column of language codes from a detector, of the first 2,000 characters."""
+    """A column of language codes from a detector, of the first 2,000 characters; UNDETECTED where it fails."""
 
     @F.pandas_udf("string")
     def codes(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        of = make()
+        of = started(make)
         for column in batches:
-            yield column.map(lambda t: of((t or "")[:2000]))
+            found = [attempt(of, (t or "")[:2000]) for t in column]
+            yield pd.Series([UNDETECTED if error else code for code, error in found], dtype=object)
 
     return codes(text_column)
+
+
+def rule_extractor() -> Callable[[str, str], str]:
+    """A deterministic stand-in for a model: the first sentence, and the lists below headings that name their kind."""
+
+    def ask(title: str, body: str) -> str:
+        import json
+
+        kinds = {"require": "must_have", "qualif": "must_have", "nice": "nice_to_have", "plus": "nice_to_have", "task": "responsibilities", "responsib": "responsibilities"}
+        found: dict = {"title": title, "role_summary": re.split(r"(?<=[.!?])\s", body.strip(), maxsplit=1)[0][:300]}
+        kind = None
+        for line in body.splitlines():
+            item = re.match(r"\s*[-*•]\s*(.+)", line)
+            if item and kind:
+                found.setdefault(kind, []).append(item[1].strip())
+            elif line.strip() and not item:
+                kind = next((v for k, v in kinds.items() if k in line.lower()), None)
+        return json.dumps(found)
+
+    return ask
+
+
+#: Words that tell four languages apart, for the detector that is shipped.
+COMMON = {
+    "da": "og er til af ikke det vi du at på som med har der også hos jeg blive arbejde",
+    "en": "the and of to is you we with for are our will have this your be work",
+    "no": "og er til av ikke det vi du at på som med har også hos jeg blir å arbeid",
+    "sv": "och är till av inte det vi du att på som med har också hos jag blir arbete",
+}
+
+
+def rule_detector() -> Callable[[str], str | None]:
+    """A deterministic stand-in for a detector: the language with the most common words, if it leads and has five."""
+    words = {k: frozenset(v.split()) for k, v in COMMON.items()}
+
+    def of(body: str) -> str | None:
+        seen = re.findall(r"\w+", body.lower())
+        ranked = sorted(((sum(w in known for w in seen), k) for k, known in words.items()), reverse=True)
+        return ranked[0][1] if ranked[0][0] >= 5 and ranked[0][0] > ranked[1][0] else None
+
+    return of
+
+
+def client(name: str, shipped: Callable) -> Callable | None:
+    """The factory that a command names: module.function, `rules` for the shipped one, none without a name."""
+    if not name:
+        return None
+    if name == "rules":
+        return shipped
+    module, _, function = name.rpartition(".")
+    return getattr(importlib.import_module(module), function)

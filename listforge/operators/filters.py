@@ -70,3 +70,9 @@ def gate(s: Settings, body: str = "body", detected: Column | None = None) -> Col
 def gated(df: DataFrame, s: Settings, body: str = "body", detected: Column | None = None) -> DataFrame:
     """Fetched rows that no gate drops."""
     return df.where(gate(s, body, detected).isNull())
+
+
+def bodies_last(has_body: Column, order: Column, n: int) -> Column:
+    """The order in which a run works on teasers (order from 0 to under n): first those that have to be fetched, then those
+    whose source gave the body, both as they arrived."""
+    return order.cast("long") + F.when(has_body, F.lit(n)).otherwise(F.lit(0)).cast("long")

@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..config import Settings
 from ..functions import dates, text
-from . import filters
+from . import filters, numbering
 from .dedup import best_per_url
 
 
@@ -38,11 +37,8 @@ def open_shortlist(archive: DataFrame, s: Settings) -> DataFrame:
 
 
 def numbered(shortlist: DataFrame) -> DataFrame:
-    """The shortlist with its numbers, which every view of it keeps.
-
-    A window without partitions is one task: what it numbers is the shortlist, which people read and the filters bound.
-    """
-    return shortlist.withColumn("n", F.row_number().over(Window.orderBy(*urgency())))
+    """The shortlist with its numbers, which every view of it keeps."""
+    return numbering.numbered(shortlist, *urgency())
 
 
 def matches(archive: DataFrame, s: Settings):
