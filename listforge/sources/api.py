@@ -58,16 +58,22 @@ class PagedReader(DataSourceReader):
         """None without a base URL: such a source yields nothing."""
         return [Query(i, t) for i, t in enumerate(self.terms)] if self.base else []
 
-    def read(self, partition: Query) -> Iterator[tuple]:
+    def client(self):
         module, _, name = self.opener.rpartition(".")
-        get, seen = getattr(importlib.import_module(module), name), set()
+        return getattr(importlib.import_module(module), name)
+
+    def parts(self, get, term: str, page: int) -> list[tuple[str, str]]:
+        """(identity, raw) of what a page has: its objects, or the page itself if it has a card."""
+        answer = get(f"{self.base}?{urlencode(self.asked(term, page))}")
+        if self.kind == "json":
+            return [(identity(x), json.dumps(x, ensure_ascii=False)) for x in objects(json.loads(answer))]
+        return [(answer, answer)] if cards.cards_of(answer, self.card) else []
+
+    def read(self, partition: Query) -> Iterator[tuple]:
+        get, seen = self.client(), set()
         for page in range(self.first, self.first + self.pages):
             try:
-                answer = get(f"{self.base}?{urlencode(self.asked(partition.term, page))}")
-                if self.kind == "json":
-                    parts = [(identity(x), json.dumps(x, ensure_ascii=False)) for x in objects(json.loads(answer))]
-                else:
-                    parts = [(answer, answer)] if cards.cards_of(answer, self.card) else []
+                parts = self.parts(get, partition.term, page)
             except Exception as e:  # a page that fails ends its query, not the source
                 log.error("query %r, page %d failed: %s", partition.term, page, str(e)[:160])
                 return
@@ -123,6 +129,11 @@ class PagedSource(DataSource):
     def reader(self, schema) -> PagedReader:
         return PagedReader(dict(self.options))
 
+    def streamReader(self, schema):
+        from .live import PagedStream
+
+        return PagedStream(dict(self.options))
+
 
 def read(spark: SparkSession, s: Settings, kind: str = "json", **more: str) -> DataFrame:
     """What the settings' API (kind json) or board (kind html) answers: rank, query, page, pos and raw."""
