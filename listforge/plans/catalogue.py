@@ -2,45 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from dataclasses import replace
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..config import BODY_SOURCES, EMPLOYMENT_TYPES, EXCLUDE_TERMS, TRACKS, WORK_MODES, Settings
+from ..config import BODY_SOURCES, EMPLOYMENT_TYPES, EXCLUDE_TERMS, TRACKS, WORK_MODES
 from ..functions import dates, jsonx, render, text
 from ..operators import dedup, external, filters, lookups, stats, views
 from ..sources import api, cards, pages
 from . import adapter as A
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-S: Settings = A.SETTINGS
-
-
-def query(sql: str | None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def values(spark: SparkSession, rows: list[tuple], names: str) -> DataFrame:
-    return spark.createDataFrame(rows, names)
-
-
-def sql_values(rows: list[tuple], names: str) -> str:
-    def lit(x):
-        return "NULL" if x is None else str(x) if isinstance(x, int) else "'" + x.replace("'", "''") + "'"
-
-    return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") v({names})"
-
+from .base import ORACLE_SQL, QUERIES, S, query, sql_values, values  # noqa: F401
 
 # --- shortlist and archive ------------------------------------------------------------------------------------------
 
@@ -450,8 +423,7 @@ def body_fallback(spark, d):
 @query(f"WITH {A.KEYED} SELECT row_idx, CASE WHEN location = 'N/A' THEN company ELSE location END AS location FROM k")
 def fill_blanks(spark, d):
     """P5 E18."""
-    c = F.col("location")
-    return A.archive(spark, d).select("row_idx", F.when(c.isNull() | (c == "") | (F.upper(c) == "N/A"), F.col("company")).otherwise(c).alias("location"))
+    return A.archive(spark, d).select("row_idx", text.filled(F.col("location"), F.col("company")).alias("location"))
 
 
 @query("SELECT CASE WHEN n_chars > 200 THEN 'preloaded' ELSE 'to_fetch' END AS part, count(*) AS n FROM documents GROUP BY 1")
@@ -581,3 +553,6 @@ def schema_migrate(spark, d):
     from ..sources.files import by_name
 
     return by_name(A.archive(spark, d).select("title", "row_idx", "danish_level", F.lit("x").alias("foo")), ("row_idx", "title", "published_date", "danish_level"))
+
+
+from . import extensions  # noqa: E402, F401  (registers its queries)
