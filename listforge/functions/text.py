@@ -57,17 +57,25 @@ def canonical_url(url: Column) -> Column:
 
     Null and empty give an empty string; text that is no URL stays as it is.
     """
-    u = stripped(blank(url))
-    part = lambda n: F.regexp_extract(u, r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$", n)
-    scheme, host, path, query = F.lower(part(1)), F.regexp_replace(F.lower(part(2)), r"^www\.", ""), part(3), part(4)
-    kept = F.array_sort(F.filter(query_pairs(query), lambda p: ~F.lower(p["k"]).isin(*TRACKING)))
-    text = F.array_join(F.transform(kept, lambda p: F.concat(escaped(p["k"]), F.lit("="), escaped(p["v"]))), "&")
-    bare = F.regexp_replace(path, "/+$", "")
-    bare = F.when(bare == "", "/").otherwise(bare)
-    front = F.concat(F.when(scheme == "", "https").otherwise(scheme), F.lit(":"))
-    with_host = F.concat(F.lit("//"), host, F.when(bare.startswith("/"), bare).otherwise(F.concat(F.lit("/"), bare)))
-    whole = F.concat(front, F.when(host == "", bare).otherwise(with_host), F.when(text == "", "").otherwise(F.concat(F.lit("?"), text)))
-    return F.when((scheme == "") & (part(2) == ""), u).otherwise(whole)
+    # Each step is an array of one struct, so that what several later parts use is computed once.
+    part = lambda u, n: F.regexp_extract(u, r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$", n)
+    whole = F.array(stripped(blank(url)))
+    parts = F.transform(whole, lambda u: F.struct(u.alias("u"), part(u, 1).alias("scheme"), part(u, 2).alias("host"), part(u, 3).alias("path"), part(u, 4).alias("query")))
+
+    def cleaned(p: Column) -> Column:
+        kept = F.array_sort(F.filter(query_pairs(p["query"]), lambda q: ~F.lower(q["k"]).isin(*TRACKING)))
+        text = F.array_join(F.transform(kept, lambda q: F.concat(escaped(q["k"]), F.lit("="), escaped(q["v"]))), "&")
+        bare = F.regexp_replace(p["path"], "/+$", "")
+        host = F.regexp_replace(F.lower(p["host"]), r"^www\.", "")
+        scheme = F.when(p["scheme"] == "", "https").otherwise(F.lower(p["scheme"]))
+        return F.struct(p["u"].alias("u"), ((p["scheme"] == "") & (p["host"] == "")).alias("no_url"), scheme.alias("scheme"), host.alias("host"), F.when(bare == "", "/").otherwise(bare).alias("path"), F.when(p["query"] == "", "").otherwise(text).alias("query"))
+
+    def joined(p: Column) -> Column:
+        path = F.when((p["host"] == "") | p["path"].startswith("/"), p["path"]).otherwise(F.concat(F.lit("/"), p["path"]))
+        front = F.concat(p["scheme"], F.lit(":"), F.when(p["host"] == "", "").otherwise(F.concat(F.lit("//"), p["host"])))
+        return F.when(p["no_url"], p["u"]).otherwise(F.concat(front, path, F.when(p["query"] == "", "").otherwise(F.concat(F.lit("?"), p["query"]))))
+
+    return F.get(F.transform(F.transform(parts, cleaned), joined), F.lit(0))
 
 
 def alnum(c: Column) -> Column:
