@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import external, filters, numbering, sketches, timejoins, views
 from ..operators.dedup import written
 from ..operators.seen import Seen
+from ..shipping import ship
 from ..sources import registry, tables
 from ..streaming import arrivals
 from . import adapter as A
@@ -166,6 +167,74 @@ def isolated_sources(spark, d):
     return found.groupBy("source_site").agg(F.count("*").alias("n")).withColumn("error", F.lit(None).cast("string")).unionByName(errors)
 
 
+# --- sources and sinks ----------------------------------------------------------------------------------------------
+
+PAGE, LIMIT = 200, 3
+
+
+@query(
+    f"WITH t AS (SELECT *, c_custkey // {PAGE} + 1 AS page FROM customer) "
+    f"SELECT c_name AS title, 'https://hub.example/' || cast(c_custkey AS string) AS url FROM t WHERE page <= {LIMIT} AND NOT (c_mktsegment = 'BUILDING' AND page >= 2)"
+)
+def paged_api(spark, d):
+    """Customers as the pages of an API, by segment and ranges of keys, asked for page by page; a page limit, and
+    a query whose second page repeats its first, which ends it."""
+    from ..sources import api
+
+    rows = A.table(spark, d, "customer")
+    rows = rows.select(F.col("c_mktsegment").alias("q"), F.expr(f"cast(c_custkey div {PAGE} AS int) + 1").alias("page"), F.col("c_custkey").alias("at"), F.struct(F.col("c_name").alias("title"), F.concat(F.lit("https://www.hub.example/"), "c_custkey").alias("url")).alias("doc"))
+    again = rows.where("q = 'BUILDING' AND page = 1")
+    rows = rows.where("NOT (q = 'BUILDING' AND page = 2)").unionByName(again.withColumn("page", F.lit(2)))
+    pages = rows.groupBy("q", "page").agg(F.to_json(F.struct(F.transform(F.sort_array(F.collect_list(F.struct("at", "doc"))), lambda x: x["doc"]).alias("docs"))).alias("value"))
+    folder = _folder(spark, "pages")
+    pages.write.partitionBy("q", "page").text(folder)
+    terms = sorted(r[0] for r in rows.select("q").distinct().collect())  # one query each, as a settings file would list them
+    spark.dataSource.register(api.PagedSource)
+    ship(spark)
+    found = spark.read.format("listforge_paged").options(base=folder, queries=json.dumps(terms), pages=str(LIMIT), opener="listforge.sources.api.stored").load()
+    out = api.teasers(written(found, "objects"), S)
+    return out.select("title", F.regexp_replace("url", "www[.]", "").alias("url"))
+
+
+@query("SELECT o_orderkey, 'a \"quoted\", text' || chr(10) || o_orderpriority AS reasoning, '' AS published_date FROM orders")
+def csv_scan(spark, d):
+    """A CSV table with line feeds and quotes inside fields, read by name; a column that the file lacks is blank."""
+    from ..sources import files
+
+    folder = _folder(spark, "csv")
+    rows = A.table(spark, d, "orders").select(F.concat(F.lit('a "quoted", text\n'), "o_orderpriority").alias("reasoning"), F.col("o_orderkey").cast("string").alias("o_orderkey"), F.lit("x").alias("foo"))
+    files.write_csv(rows, folder)
+    return files.read_csv(spark, folder, ("o_orderkey", "reasoning", "published_date")).withColumn("o_orderkey", F.col("o_orderkey").cast("long"))
+
+
+@query(f"WITH {A.SHORT}, n AS (SELECT *, row_number() OVER (ORDER BY days_left NULLS LAST, score_n DESC, first_idx) AS n FROM short) SELECT '### ' || cast(n AS string) || '. [' || title || '](' || url || ') — ' || cast(score_n AS string) || '/100' AS heading FROM n")
+def report_sink(spark, d):
+    """The headings of the report that is written for people, read back from its file."""
+    from .. import cli
+    from ..schema import ARCHIVE, strings
+    from ..sources import files
+
+    folder = _folder(spark, "desk")
+    archive = A.archive(spark, d).withColumn("published_date", F.lit(""))
+    archive.select(*ARCHIVE, "row_idx").write.parquet(f"{folder}/archive")
+    desk = cli.Desk(spark, f"{folder}/archive", f"{folder}/tracker", S)
+    files.Snapshots(spark, f"{folder}/tracker", desk.snapshots.columns).replace(spark.createDataFrame([], strings(desk.snapshots.columns)))
+    desk.report(f"{folder}/report.md")
+    lines = spark.read.text(f"{folder}/report.md").where("value LIKE '### %'")
+    return lines.select(F.regexp_extract("value", "^(### .*/100)", 1).alias("heading"))
+
+
+@query("SELECT lang AS query, arg_min(text, struct_pack(a := n_chars, b := doc_id)) AS markup FROM documents WHERE text <> '' AND NOT contains(text, chr(13)) GROUP BY lang")
+def first_page_dump(spark, d):
+    """The first page of each query, written as text to look at, and read back; documents stand for pages."""
+    from ..sources import files
+
+    rows = A.table(spark, d, "documents").where("text <> '' AND NOT contains(text, '\r')")
+    folder = _folder(spark, "dump")
+    files.dump_first_pages(rows.select(F.col("lang").alias("query"), F.col("n_chars").alias("page"), F.col("doc_id").alias("pos"), F.col("text").alias("raw")), folder)
+    return spark.read.option("wholetext", "true").text(folder).select("query", F.regexp_replace("value", "\n$", "").alias("markup"))
+
+
 # --- time -----------------------------------------------------------------------------------------------------------
 
 MOMENT = "DATE '2024-01-01' + cast((cast(o_orderkey AS int) % 40) - 5 AS int)"

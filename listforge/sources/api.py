@@ -33,6 +33,23 @@ def http(url: str) -> str:
         return r.read().decode("utf-8", "replace")
 
 
+def stored(url: str) -> str:
+    """The page of a query that a folder holds (q=TERM/page=N/, as Spark writes partitions), for replays without a network."""
+    from pyarrow import fs
+
+    from .tables import store
+
+    at = urlsplit(url)
+    asked = dict(parse_qsl(at.query))
+    files, path = store(url.split("?")[0])
+    found = files.get_file_info(fs.FileSelector(f"{path}/q={asked['q']}/page={asked['page']}", allow_not_found=True))
+    parts = []
+    for x in sorted((x for x in found if x.base_name.startswith("part-")), key=lambda x: x.path):
+        with files.open_input_stream(x.path) as f:
+            parts.append(f.read().decode())
+    return "".join(parts) or "{}"
+
+
 class Query(InputPartition):
     def __init__(self, number: int, term: str):
         self.number, self.term = number, term
