@@ -2,21 +2,22 @@
 
 A configuration says how many pieces of each length share a sequence. The program covers the histogram with the fewest
 sequences; it has far too many configurations to list, so multiplicative weights price the lengths and a knapsack
-dynamic program finds the configuration worth most at these prices, round after round, until every length's demand is
-met. Rounding takes whole numbers of configurations and closes with best-fit configurations of the remainder, each as often
-as it fits. The program sees at most 1,024 counts, whatever the number of documents; pieces then find their
-sequence by their length and their rank among pieces of that length, which is counted in lanes so that a frequent
-length stays divided.
+dynamic program finds the configurations worth most at these prices. Prices bound the program from below, and its end is
+by the gap to that bound. Rounding takes whole numbers of configurations and closes with best-fit configurations of the
+remainder, each as often as it fits. The program sees at most 1,024 counts, whatever the number of documents; pieces then
+find their sequence by their length and their rank among pieces of that length, which is counted in lanes so that a
+frequent length stays divided.
 
 Defined results: a null text counts as empty and is one piece with the end id alone; repeated rows are packed each on
 their own (ranks among fully equal rows are any), and so are rows of one id, whatever their texts; a text of any length is
 cut into as many pieces as it takes; an empty table gives an empty result; other columns of documents, whatever their
-names, don't pass through, while `pack` carries those of pieces along.
+names, don't pass through, while `pack` carries those of pieces along (see there).
 """
 
 from __future__ import annotations
 
 import zlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +29,14 @@ from . import bpe
 from .common import arrow, materialize, small_batches, table
 
 CAPACITY = 1024
-#: How fast a length gets cheaper as its demand is met, and how much dearer a token of a long piece is than one of a
-#: short piece: short ones are kept to fill what long ones leave.
-ETA, LONG = 0.05, 1.0
-LANES = 32
+#: The program: how fast a length gets cheaper as its demand is met, the share of a demand that a round meets at most, the
+#: gap to the bound at which it ends, and otherwise how many turns of how many rounds it takes.
+ETA, STEP, GAP, TURNS, ROUNDS = 0.5, 0.5, 0.001, 12, 40
+#: Lengths that a table of the dynamic program serves, and how much dearer a token of a long piece is than one of a short
+#: piece when the cover is chosen: among near equals, short ones are kept to fill what long ones leave.
+FROM_TABLE, LONG = 8, 1.0
+#: Pieces of one length are ranked in lanes of about so many.
+LANE_ROWS = 50_000
 #: Tokens that configurations may leave free when not all of the program's are kept.
 WASTE = (16, 4, 1)
 
@@ -66,11 +71,9 @@ def pieces_of(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPAC
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_cut(path, end_id, capacity), PIECES_DDL)
 
 
-def dearest(prices: np.ndarray, limits: np.ndarray, capacity: int) -> Configuration:
-    """The configuration of the highest price: unbounded knapsack by dynamic programming, then cut to the limits."""
+def valued(prices: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack by dynamic programming: the worth of each room at best, and the length to take there first."""
     lengths = np.flatnonzero(prices > 0)
-    if not len(lengths):
-        return ()
     value, choice, worth = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64), prices[lengths]
     for c in range(1, capacity + 1):
         n = int(np.searchsorted(lengths, c, side="right"))
@@ -80,38 +83,89 @@ def dearest(prices: np.ndarray, limits: np.ndarray, capacity: int) -> Configurat
             k = int(sums.argmax())
             if sums[k] > value[c]:
                 value[c], choice[c] = sums[k], lengths[k]
-    counts: dict[int, int] = {}
-    c = capacity
-    while c > 0:
-        if choice[c]:
-            counts[int(choice[c])] = counts.get(int(choice[c]), 0) + 1
-            c -= int(choice[c])
-        else:
-            c -= 1
-    return tuple((n, min(k, int(limits[n]))) for n, k in sorted(counts.items(), reverse=True))
-
-
-def fractional(histogram: np.ndarray, capacity: int = CAPACITY) -> list[tuple[Configuration, float]]:
-    """Configurations with fractional counts that hold exactly the histogram, by multiplicative weights.
-
-    Every round takes the dearest configuration until the demand for one of its lengths is met, and lengths get cheaper by
-    how much of their demand it met. A length whose demand is met has no price, so that rounds end after as many as there
-    are lengths at most.
+    return value, choice
+
+
+def chosen(choice: np.ndarray, capacity: int, first: int = 0) -> dict[int, int]:
+    """The dearest configuration, or the dearest of those that hold the length `first`."""
+    counts, room = ({first: 1}, capacity - first) if first else ({}, capacity)
+    while room > 0:
+        n = int(choice[room])
+        counts[n] = counts.get(n, 0) + 1
+        room -= n or 1
+    counts.pop(0, None)
+    return counts
+
+
+@dataclass
+class Program:
+    """A fractional solution: configurations with counts that hold exactly the histogram, and a lower bound of any."""
+
+    parts: list[tuple[Configuration, float]]
+    bound: float
+
+    @property
+    def value(self) -> float:
+        return sum(x for _, x in self.parts)
+
+
+def swept(need: np.ndarray, prices: np.ndarray, capacity: int) -> list[tuple[Configuration, float]]:
+    """Configurations that meet each demand exactly, the dearest at these prices for one length after the other.
+
+    The longest length that isn't met goes first. A length whose demand is met has no more price, so that what follows is
+    chosen among the others; a table of the dynamic program serves a few lengths before it is made anew.
+    """
+    left, prices, taken = need.copy(), prices.copy(), {}
+    while len(open_ := np.flatnonzero(left)):
+        _, choice = valued(prices, capacity)
+        for n in open_[::-1][:FROM_TABLE]:
+            config = chosen(choice, capacity, int(n))
+            while all(left[k] > 0 for k in config):
+                step = min(left[k] / m for k, m in config.items())
+                key = tuple(sorted(config.items(), reverse=True))
+                taken[key] = taken.get(key, 0.0) + step
+                for k, m in config.items():
+                    left[k] -= step * m
+                    if left[k] <= 1e-9 * need[k]:
+                        left[k] = prices[k] = 0.0
+    return list(taken.items())
+
+
+def fractional(histogram: np.ndarray, capacity: int = CAPACITY, eta: float = ETA) -> Program:
+    """The configuration program, by multiplicative weights.
+
+    A price for each length, scaled so that no configuration is worth more than one sequence, bounds any solution from
+    below (by what all demands are worth). Prices begin in proportion to lengths. A round takes the dearest configuration
+    as often as meets one of its demands in part (its width), and weights the lengths that it holds down by the share of
+    their demand that it meets: lengths that rounds leave uncovered get relatively dearer, and where prices by length are
+    wrong, as for pieces that leave a gap which nothing fills, they move to where the bound is. The best prices found then
+    choose the configurations that cover the histogram. The program ends when its cover is within GAP of its bound, or
+    after a bounded number of rounds.
     """
     need = histogram.astype(float)
-    share = np.arange(len(need)) / capacity
-    prices = np.where(need > 0, share * (1 + LONG * share), 0.0)
-    taken: dict[Configuration, float] = {}
-    left = need.copy()
-    while config := dearest(prices, histogram, capacity):
-        step = min(left[n] / k for n, k in config)
-        taken[config] = taken.get(config, 0.0) + step
-        for n, k in config:
-            left[n] -= step * k
-            prices[n] *= np.exp(-ETA * step * k / need[n])
-            if left[n] <= 1e-9 * need[n]:
-                prices[n] = left[n] = 0.0
-    return [(c, x) for c, x in taken.items()]
+    lengths = np.flatnonzero(need)
+    if not len(lengths):
+        return Program([], 0.0)
+    prices = np.where(need > 0, np.arange(len(need)) / capacity, 0.0)
+    weights, best, parts, worth, rate, tilt = np.zeros(len(need)), 0.0, [], np.inf, eta, LONG
+    for turn in range(TURNS):
+        for _ in range(1 if not turn else ROUNDS):
+            now = prices * np.exp(weights - weights[lengths].max())
+            value, choice = valued(now, capacity)
+            bound = float(need @ now) / value[capacity]
+            if bound > best * (1 + 1e-9):
+                best, best_prices = bound, now / value[capacity]
+            config = chosen(choice, capacity)
+            share = STEP * min(need[k] / m for k, m in config.items())
+            for k, m in config.items():
+                weights[k] -= rate * share * m / need[k]
+        found = swept(need, best_prices * (1 + tilt * np.arange(len(need)) / capacity), capacity)
+        if (total := sum(x for _, x in found)) < worth:
+            parts, worth = found, total
+        if worth <= best * (1 + GAP) or not eta:
+            break
+        rate, tilt = rate * 0.8, tilt * 0.7  # smaller steps, nearer to the bound
+    return Program(parts, best)
 
 
 def best_fit(left: np.ndarray, capacity: int) -> Configuration:
@@ -164,7 +218,7 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Con
         left[n] = k
     out = [(((capacity, 1),), int(left[capacity]))] if left[capacity] else []
     left[capacity] = 0
-    parts = fractional(left, capacity)
+    parts = fractional(left, capacity).parts
     found = []
     for waste in (capacity, *WASTE):
         whole, rest = rounded(parts, left, capacity, waste)
@@ -172,25 +226,35 @@ def solve(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[Con
     return out + min(found, key=lambda f: sum(times for _, times in f))
 
 
-def ranked(pieces: DataFrame) -> DataFrame:
-    """pieces with `rank`: gapless from 0 among those of a length."""
-    lane = F.pmod(F.xxhash64("doc_id", "piece"), F.lit(LANES)).cast("int")
-    laned = pieces.withColumn("lane", lane)
-    counts = sorted((r["length"], r["lane"], r["count"]) for r in laned.groupBy("length", "lane").count().collect())
+ADDED = ("sequence_id", "offset", "_lane", "_lanes", "_rank", "_before", "_low", "_high", "_many", "_sequence", "_place")
+
+
+def ranked(pieces: DataFrame, histogram: dict[int, int]) -> DataFrame:
+    """pieces with `_rank`: gapless from 0 among those of a length. A length has as many lanes as its pieces need."""
+    spark = pieces.sparkSession
+    lanes = spark.createDataFrame([(n, -(-k // LANE_ROWS)) for n, k in histogram.items()], "length long, _lanes int")
+    laned = pieces.join(F.broadcast(lanes), "length").withColumn("_lane", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_lanes")).cast("int"))
+    counts = sorted((r["length"], r["_lane"], r["count"]) for r in laned.groupBy("length", "_lane").count().collect())
     bases, run, last = [], 0, None
-    for n, at, k in counts:  # at most capacity * LANES
+    for n, at, k in counts:  # at most one for each length and one for LANE_ROWS pieces
         run = run if n == last else 0
         bases.append((n, at, run))
         run, last = run + k, n
-    table_ = pieces.sparkSession.createDataFrame(bases, "length long, lane int, before long")
-    order = Window.partitionBy("length", "lane").orderBy("doc_id", "piece")
-    return laned.withColumn("rank", F.row_number().over(order).cast("long") - 1).join(F.broadcast(table_), ["length", "lane"]).withColumn("rank", F.col("rank") + F.col("before")).drop("lane", "before")
+    before = spark.createDataFrame(bases, "length long, _lane int, _before long")
+    order = Window.partitionBy("length", "_lane").orderBy("doc_id", "piece")
+    return laned.withColumn("_rank", F.row_number().over(order).cast("long") - 1).join(F.broadcast(before), ["length", "_lane"]).withColumn("_rank", F.col("_rank") + F.col("_before"))
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (with doc_id, piece and length, cheap to read again) with sequence_id and offset."""
+    """pieces (with doc_id, piece, length and ids_crc32, a written table) with sequence_id and offset.
+
+    Pieces that fill a sequence alone need no rank. Further columns of pieces are carried along, but for those named like
+    the two and those that begin with an underscore.
+    """
     spark = pieces.sparkSession
+    pieces = pieces.select(*[F.col(f"`{c}`") for c in pieces.columns if c.lower() not in ADDED[:2] and not c.startswith("_")])
     histogram = {int(r["length"]): int(r["count"]) for r in pieces.groupBy("length").count().collect()}
+    full = histogram.pop(capacity, 0)
     slots, used, sequence = [], {}, 0
     for config, times in solve(histogram, capacity):
         at = 0
@@ -201,13 +265,14 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             at += n * k
         sequence += times
     # One row for each length of a configuration: their number depends on the capacity, not on the documents.
-    table_ = spark.createDataFrame(slots, "length long, low long, high long, many int, sequence long, place int")
-    found = ranked(pieces).join(F.broadcast(table_), "length").where((F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high")))
-    at = F.col("rank") - F.col("low")
-    return found.withColumns({
-        "sequence_id": F.col("sequence") + F.floor(at / F.col("many")).cast("long"),
-        "offset": F.col("place") + at % F.col("many") * F.col("length"),
-    }).drop("rank", "low", "high", "many", "sequence", "place")
+    table_ = spark.createDataFrame(slots, "length long, _low long, _high long, _many int, _sequence long, _place int")
+    found = ranked(pieces.where(F.col("length") < capacity), histogram).join(F.broadcast(table_), "length").where((F.col("_rank") >= F.col("_low")) & (F.col("_rank") < F.col("_high")))
+    at = F.col("_rank") - F.col("_low")
+    found = found.select(*pieces.columns, (F.col("_sequence") + F.floor(at / F.col("_many")).cast("long")).alias("sequence_id"), (F.col("_place") + at % F.col("_many") * F.col("length")).alias("offset"))
+    if not full:
+        return found
+    alone = pieces.where(F.col("length") == capacity).select(*pieces.columns, (F.monotonically_increasing_id() + sequence).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return found.unionByName(alone)
 
 
 def op5(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:

@@ -301,3 +301,26 @@ def test_prefixes_are_shortened_while_nodes_are_small(spark):
     assert all(got[i] == (4, 30) for i in range(30)) and all(got[100 + i] == (4, 3) for i in range(3))
     assert got[300] == got[301] == (3, 2) and 200 not in got and 400 not in got
     assert {r["rep"] for r in longer.where("tree = 0 and depth = 4").collect()} == {*range(30), 100, 101, 102, 200}
+
+
+def test_packing_carries_columns_and_divides_lengths(spark, monkeypatch):
+    """Names that the operator uses itself; a frequent length; rows of one null id; pieces that fill a sequence."""
+    from listforge.llm import packing
+
+    monkeypatch.setattr(packing, "LANE_ROWS", 50)
+    rows = [(None, i, 1024 if i % 3 == 0 else 100 + i % 2, i, "l", "r", 7, 8) for i in range(600)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long, ids_crc32 long, lane string, rank string, sequence_id int, many int")
+    got = packing.pack(pieces).collect()
+    assert set(got[0].asDict()) == set(pieces.columns) | {"offset"} and {(r["lane"], r["rank"], r["many"]) for r in got} == {("l", "r", 8)}
+    assert sorted(r["piece"] for r in got) == list(range(600))
+    places = {}
+    for r in got:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for held in places.values():
+        at = 0
+        for start, n in sorted(held):
+            assert start == at
+            at += n
+        assert at <= 1024
+    assert len(places) <= 200 + 41
+    assert packing.pack(pieces.where("false")).count() == 0 and packing.pack(pieces.where("length = 1024")).count() == 200
