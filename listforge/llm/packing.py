@@ -31,7 +31,7 @@ from .common import arrow, materialize, small_batches, table
 CAPACITY = 1024
 #: The program: how fast a length gets cheaper as its demand is met, the share of a demand that a round meets at most, the
 #: gap to the bound at which it ends, and otherwise how many turns of how many rounds it takes.
-ETA, STEP, GAP, TURNS, ROUNDS = 0.5, 0.5, 0.001, 12, 40
+ETA, STEP, GAP, TURNS, ROUNDS = 0.5, 0.5, 0.001, 6, 40
 #: Lengths that a table of the dynamic program serves, and how much dearer a token of a long piece is than one of a short
 #: piece when the cover is chosen: among near equals, short ones are kept to fill what long ones leave.
 FROM_TABLE, LONG = 8, 1.0
@@ -164,7 +164,7 @@ def fractional(histogram: np.ndarray, capacity: int = CAPACITY, eta: float = ETA
             parts, worth = found, total
         if worth <= best * (1 + GAP) or not eta:
             break
-        rate, tilt = rate * 0.8, tilt * 0.7  # smaller steps, nearer to the bound
+        rate, tilt = rate * 0.55, tilt * 0.6  # smaller steps, nearer to the bound
     return Program(parts, best)
 
 
