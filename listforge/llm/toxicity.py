@@ -29,21 +29,32 @@ from .deobfuscate import SIZE, Model, trigrams
 SAMPLE, FEATURES, SEEN = 20_000, 2048, 3
 #: Lengths of the beginnings of words that are features beside them.
 BEGINNINGS = (4, 6)
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD, _SPACE = re.compile(r"[^\W\d_]+"), re.compile(r"\s")
 
 GRAMS = pa.schema([("gram", pa.int32()), ("n", pa.int64())])
 
 
+def parts(text: str, size: int = 1 << 20) -> list[str]:
+    """The text cut behind white space, which no trigram spans, after about `size` characters each."""
+    at, out = 0, []
+    while at < len(text):
+        border = _SPACE.search(text, at + size)
+        stop = border.end() if border else len(text)
+        out.append(text[at:stop])
+        at = stop
+    return out
+
+
 def _count(batches):
     counts = np.zeros(SIZE**3, np.int64)
     for batch in batches:
         held: list[str] = []
         size = 0
         for text in batch.column(0).to_pylist():
-            # Texts are counted together (a line feed is a border), and a very long one in parts.
-            for at in range(0, len(text or ""), 1 << 20):
-                held.append(text[at : at + (1 << 20)])
-                size += len(held[-1])
+            # Texts are counted together (a line feed is a border), and a very long one in parts that end at a border too.
+            for part in parts(text or ""):
+                held.append(part)
+                size += len(part)
                 if size >= 1 << 20:
                     counts += np.bincount(trigrams("\n".join(held)), minlength=SIZE**3)
                     held, size = [], 0
