@@ -145,7 +145,7 @@ def manifest(rows: DataFrame, height: int = HEIGHT) -> DataFrame:
     groups = materialize(placed(materialize(groups, "subroots", small=True), "member"), "subroots-placed", small=True)
     tops, root = tree(groups, height)
     tops = tops.select("pos", F.col("siblings").alias("above"))
-    groups = groups.join(tops, "pos").crossJoin(F.broadcast(root.select(F.col("digest").alias("root"))))  # one row: the root
+    groups = groups.join(tops, "pos").join(F.broadcast(root.withColumnRenamed("digest", "root")), "group")  # one row: the root
     groups = groups.select(F.col("member").alias("group"), F.col("pos").alias("group_pos"), F.col("n").alias("group_n"), "above", "subroot", "root")
     out = at.join(paths.select("group", "pos", "siblings"), ["group", "pos"]).join(groups, "group")
     return out.withColumn("siblings", F.concat("siblings", "above")).drop("above")
